@@ -34,6 +34,15 @@ END, NONE = "</w>", 1 << 60
 #: White space of the Unicode property, and the characters that str.split also splits at.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
+#: Letters that Unicode 16 has beyond Python's tables. The pattern's library takes other unassigned characters for letters, too.
+_NEW_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+_LETTER = regex.compile(r"\p{L}")
+
+
+def _no_letter(c: str) -> bool:
+    return unicodedata.category(c) == "Cn" and bool(_LETTER.match(c)) and not any(a <= ord(c) <= b for a, b in _NEW_LETTERS)
+
+
 _CUT = regex.compile(f"[{_SPACE}]")
 _BLANKS = regex.compile(f"[{_SPACE}]+")
 
@@ -144,7 +153,7 @@ class Transducer:
     def chunk(self, text: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a normalised text without white space."""
         known = self.known
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+        if not text.isascii() and any(map(_no_letter, text)):
             words = self.odd_words(text)
         else:
             words = self.words.findall(text)
@@ -167,7 +176,7 @@ class Transducer:
 
     def odd_words(self, text: str) -> list[str]:
         """Words of a text with unassigned characters, which are no letters; the pattern's library takes some for letters."""
-        letters = "".join("\0" if unicodedata.category(c) == "Cn" else c for c in text)
+        letters = "".join("\0" if _no_letter(c) else c for c in text)
         return [text[m.start() : m.end()] for m in self.words.finditer(letters)]
 
     def plain(self, text: str) -> bytes:

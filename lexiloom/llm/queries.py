@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe
+from lexiloom.llm import bpe, decontam
 
 QUERIES = {
+    "op6_decontamination": decontam.op6_decontamination,
     "op9_bpe_coding": bpe.op9_bpe_coding,
 }
 

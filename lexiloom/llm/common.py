@@ -6,8 +6,8 @@ with offsets, and words, hashes and shingles are computed over all its rows at o
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once in a Python worker; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Tables of cut() that are still there.
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,9 +39,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df read from the checkpoint folder, which all executors share; its lineage ends there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table to the checkpoint folder, which all executors share, and read from there; its lineage ends."""
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables of cut() that no later step reads."""
+    for df in frames:
+        if spark := _WRITTEN.pop(df._written, None):
+            at = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def own(df: DataFrame, *columns: str) -> DataFrame:
@@ -173,6 +188,7 @@ def components(links: DataFrame) -> DataFrame:
         new = cut(small)
         same = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
         a, b = same.first(), new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        release(edges)
         edges = new
         if a == b:
             break

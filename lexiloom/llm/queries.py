@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, decontam
+from lexiloom.llm import bpe, decontam, ngram_join
 
 QUERIES = {
+    "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op6_decontamination": decontam.op6_decontamination,
     "op9_bpe_coding": bpe.op9_bpe_coding,
 }

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, decontam, langid, ngram_join, sentences, toxicity
+from lexiloom.llm import bpe, decontam, langid, ngram_join, secrets, sentences, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontam.op6_decontamination,
     "op8_sentence_spans": sentences.op8_sentence_spans,
     "op9_bpe_coding": bpe.op9_bpe_coding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_secret_scan": secrets.OP4_SQL,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, decontam, langid, ngram_join, secrets, sentences, toxicity
+from lexiloom.llm import bpe, chat, decontam, langid, ngram_join, secrets, sentences, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontam.op6_decontamination,
+    "op7_chat_format": chat.op7_chat_format,
     "op8_sentence_spans": sentences.op8_sentence_spans,
     "op9_bpe_coding": bpe.op9_bpe_coding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secrets.OP4_SQL,
+    "op7_chat_format": chat.OP7_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, chat, decontam, langid, ngram_join, secrets, sentences, toxicity
+from lexiloom.llm import bpe, chat, decontam, langid, ngram_join, secrets, sentences, toxicity, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_chat_format": chat.op7_chat_format,
     "op8_sentence_spans": sentences.op8_sentence_spans,
     "op9_bpe_coding": bpe.op9_bpe_coding,
+    "op10_embedding_near_dups": vectors.op10_embedding_near_dups,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, chat, decontam, langid, ngram_join, secrets, sentences, toxicity, vectors
+from lexiloom.llm import bpe, chat, decontam, langid, ngram_join, pii, secrets, sentences, toxicity, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_pii": pii.op2_pii,
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_toxicity": toxicity.op5_toxicity,

@@ -16,7 +16,7 @@ def read_web(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """Column text of all Parquet files below path; tolerant skips files that can't be read."""
-    return spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(tolerant).lower()).option("pathGlobFilter", "*.parquet").parquet(path).select("text")
+    return spark.read.schema("text string").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(tolerant).lower()).option("pathGlobFilter", "*.parquet").parquet(path).select("text")
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions import era, markdown, normalize, pytext
+from lexiloom.functions import era, markdown, normalize
 from lexiloom.operators import articles, blocks, books, catalogue, lengths, metrics, ngrams, packing, quality, tokens, translation
 from lexiloom.plans import cleaning
 
@@ -120,7 +120,7 @@ def normalize_literals(spark, sf_dir):
 
 # --- lengths ---
 
-_QUANTILES = ", ".join(f"quantile_cont(n, {p / 100}) AS p{str(p).replace('.', '_')}" for p in lengths.PERCENTILES)
+_QUANTILES = ", ".join(f"round(quantile_cont(n, {p / 100}), 6) AS {lengths.name(p)}" for p in lengths.PERCENTILES)
 _SIZES = "WITH r AS (SELECT source, length(text) AS n FROM documents) "
 
 
@@ -133,7 +133,7 @@ def length_summary(spark, sf_dir):
     return lengths.summary(_sizes(spark, sf_dir), "n", "source").withColumn("std", F.round("std", 6))
 
 
-@query(_SIZES + f"SELECT {', '.join('round(' + q.split(' AS ')[0] + ', 6) AS ' + q.split(' AS ')[1] for q in _QUANTILES.split(', q') for q in [q if q.startswith('quantile') else 'q' + q])} FROM r")
+@query(_SIZES + f"SELECT {_QUANTILES} FROM r")
 def length_percentiles(spark, sf_dir):
     made = lengths.percentiles(_sizes(spark, sf_dir))
     return made.select(*(F.round(c, 6).alias(c) for c in made.columns))
@@ -574,6 +574,3 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
-
-
-__all__ = ["oracle_sql", "queries", "pytext"]

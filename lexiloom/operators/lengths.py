@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Percentiles, and the half-open edges of the histogram.
@@ -14,7 +14,8 @@ def _percentile(size: Column, p: float) -> Column:
     return F.percentile(size, F.lit(p / 100))
 
 
-def _name(p: float) -> str:
+def name(p: float) -> str:
+    """Column of a percentile."""
     return "p" + f"{p:g}".replace(".", "_")
 
 
@@ -26,7 +27,7 @@ def summary(rows: DataFrame, column: str = "n", *keys: str) -> DataFrame:
 
 def percentiles(rows: DataFrame, column: str = "n", *keys: str, points=PERCENTILES) -> DataFrame:
     """Percentiles by linear interpolation. The exact aggregate keeps a count for each distinct length only."""
-    return rows.groupBy(*keys).agg(*(_percentile(F.col(column), p).alias(_name(p)) for p in points))
+    return rows.groupBy(*keys).agg(*(_percentile(F.col(column), p).alias(name(p)) for p in points))
 
 
 def histogram(rows: DataFrame, column: str = "n", edges=EDGES) -> DataFrame:
@@ -46,19 +47,17 @@ def by_source_and_total(rows: DataFrame, source: str = "source", column: str = "
     """Percentiles and the share above limit of each source and, under a null source with is_total = 1, of all rows."""
     size = F.col(column)
     return rows.groupingSets([[source], []], source).agg(
-        F.grouping(source).cast("int").alias("is_total"), F.count(size).alias("n"), *(_percentile(size, p).alias(_name(p)) for p in (50, 75, 90, 95, 99)), F.avg((size > limit).cast("int")).alias("over_share")
+        F.grouping(source).cast("int").alias("is_total"), F.count(size).alias("n"), *(_percentile(size, p).alias(name(p)) for p in (50, 75, 90, 95, 99)), F.avg((size > limit).cast("int")).alias("over_share")
     )
 
 
 def char_percentiles(rows: DataFrame, column: str = "n", limit: int = 8000) -> DataFrame:
     size = F.col(column)
-    return rows.agg(*(_percentile(size, p).alias(_name(p)) for p in (50, 75, 90, 95, 99)), F.avg((size > limit).cast("int")).alias("over_share"))
+    return rows.agg(*(_percentile(size, p).alias(name(p)) for p in (50, 75, 90, 95, 99)), F.avg((size > limit).cast("int")).alias("over_share"))
 
 
 def sampled(rows: DataFrame, keys: list[str], count: int, seed: int, *order: str) -> DataFrame:
     """count rows of each group, drawn by a seeded hash of order; 0 takes all. A group's rows are limited before they are shuffled."""
-    from pyspark.sql import Window
-
     if not count:
         return rows
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in order)))))

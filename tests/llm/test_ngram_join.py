@@ -44,8 +44,13 @@ def corpus(seed, n=150):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_BITS", 16)
-    for seed, group in ((1, 2000), (2, 3)):
+    monkeypatch.setattr(ngram_join, "MAP_BITS", 16)
+    for seed, group, stars, rounds, sparse in ((1, 2000, 3, 2, 4), (2, 3, 1, 0, 0)):
         monkeypatch.setattr(ngram_join, "GROUP", group)
+        monkeypatch.setattr(ngram_join, "STARS", stars)
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "SPARSE", sparse)
+        monkeypatch.setattr(ngram_join, "BLOCK", 1024 if sparse else 7)
         docs = corpus(seed)
         df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, h string").repartition(3)
         got = ngram_join.join_components(df).collect()

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": ngram_join.OP3_SQL,
     "op4_secret_scan": secrets.OP4_SQL,
+    "op6_decontamination": decontam.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op10_embedding_near_dups": vectors.OP10_SQL,
 }

@@ -261,3 +261,13 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
 def op10_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     return near_duplicates(common.read(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS d FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.d * b.d) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, l.v FROM reach JOIN l ON reach.b = l.u),
+g AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v LEFT JOIN g ON vec_id = a LEFT JOIN n ON vec_id = u
+"""

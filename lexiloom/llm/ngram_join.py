@@ -110,7 +110,8 @@ def _counts(docs: DataFrame) -> np.ndarray:
     schema = "block int, part int, cells binary"
     parts = docs.mapInArrow(partial, schema).repartition(64, "block", "part").mapInArrow(total, schema)
     table = np.zeros((1 << (CELL_BITS - BLOCK_BITS), width), np.uint64)
-    for row in parts.repartition(16, "block").mapInArrow(total, schema).toLocalIterator():
+    # At most 16 parts of each block are left, whatever the number of tasks.
+    for row in parts.collect():
         table[row.block] += np.frombuffer(row.cells, "<u4")
     return np.minimum(table.ravel(), (1 << 32) - 1).astype(np.uint32)
 
@@ -180,7 +181,7 @@ def _remade(docs: DataFrame, used: DataFrame, schema: str, make) -> DataFrame:
     """c and what make(set) gives, for each class of used (c, doc_id), from the texts of docs; for some others, too, and again for repeated rows."""
     bit = _bit(F.col("doc_id"))
     wanted = np.zeros(1 << MAP_BITS >> 3, np.uint8)
-    for row in used.groupBy(F.floor(bit / 32768).alias("b")).agg(F.bitmap_construct_agg(bit % 32768).alias("m")).toLocalIterator():
+    for row in used.groupBy(F.floor(bit / 32768).alias("b")).agg(F.bitmap_construct_agg(bit % 32768).alias("m")).collect():
         wanted[row.b * 4096 : row.b * 4096 + 4096] = np.frombuffer(row.m, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     names = [x.split()[0] for x in schema.split(", ")]
@@ -219,17 +220,13 @@ def _near_enough(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n) & ((100 + PERCENT) * np.minimum(n - i, m - j) >= PERCENT * (n + m))
 
 
-def _groups(rows: DataFrame, key: str, size: str | None = None) -> DataFrame:
-    """(i, j, all): rows of each key in pairs of blocks of about BLOCK; all has the rows of both.
-
-    size names a column with the key's number of rows, if rows are dealt by key already; only larger keys are dealt anew then.
-    """
-    if size is None:
-        rows, size = rows.withColumn("_size", F.count("*").over(Window.partitionBy(key))), "_size"
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+def _groups(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """(i, j, all): rows of each key in pairs of blocks of about BLOCK; all has the rows of both. size names the column with a key's number of rows."""
     columns = [c for c in rows.columns if c not in (key, size)]
     small = rows.where(F.col(size) <= BLOCK).groupBy(key).agg(F.collect_list(F.struct(*columns, F.lit(0).alias("block"))).alias("all")).select(F.lit(0).alias("i"), F.lit(0).alias("j"), "all")
-    mine = rows.where(F.col(size) > BLOCK).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    if not rows.where(F.col(size) > BLOCK).head(1):
+        return small
+    mine = rows.where(F.col(size) > BLOCK).withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     large = dealt.repartition(key, "i", "j").groupBy(key, "i", "j").agg(F.collect_list(F.struct(*columns, "block")).alias("all")).select("i", "j", "all")
     return small.union(large)
@@ -315,7 +312,9 @@ def _dense(rows: DataFrame, bitmaps: DataFrame, stars: int = 0) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
 
-    return _groups(rows.join(bitmaps, "c"), "g").mapInArrow(run, "u long, v long")
+    # A dense block holds the rows of two blocks at most.
+    groups = rows.join(bitmaps, "c").groupBy("g").agg(F.collect_list(F.struct("c", "part", "n", "bits", F.lit(0).alias("block"))).alias("all"))
+    return groups.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "all").mapInArrow(run, "u long, v long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -337,8 +336,11 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * same >= PERCENT * (both - same)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (u, v) of classes whose sets are similar enough; sets are made anew for the classes that occur."""
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, bounded: bool = False) -> DataFrame:
+    """Those of the distinct pairs (u, v) of classes whose sets are similar enough; sets are made anew for the classes that occur.
+
+    Parity bitmaps go first, unless the pairs are bounded by them already.
+    """
     used = common.cut(_named(pairs.select(F.col("u").alias("c")).union(pairs.select("v")), reps))
     sets = common.cut(_remade(docs, used, "n long, bits binary, hashes binary", lambda s: (len(s), *_parity(s), s.tobytes())))
 
@@ -357,7 +359,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep.append(100 * (both - apart) >= PERCENT * (both + apart))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    near = joined(pairs, "n", "bits").mapInArrow(allowed, "u long, v long")
+    near = pairs if bounded else joined(pairs, "n", "bits").mapInArrow(allowed, "u long, v long")
 
     def run(batches):
         for batch in batches:
@@ -410,7 +412,7 @@ def join_components(docs: DataFrame) -> DataFrame:
         bitmaps = common.cut(_remade(docs, used, "n long, bits binary", lambda s: (len(s), *_parity(s))))
         for _ in range(ROUNDS):
             more = common.cut(_ordered(_dense(placed(dense), bitmaps, STARS)).join(tried, ["u", "v"], "left_anti"))
-            links = links.union(_verified(more, docs, reps))
+            links = links.union(_verified(more, docs, reps, bounded=True))
             parts = common.components(links)
             tried = tried.union(more)
 

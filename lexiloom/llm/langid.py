@@ -5,7 +5,7 @@ vectors, rotated by their place, by multiplication; a text's vector bundles (add
 language's prototype those of its training texts, each scaled to length one. A text gets the language whose
 prototype has the largest cosine with it. Everything that is no letter is a blank, and blanks next to each other are one.
 
-Prototypes are fitted on at most PER_LANGUAGE texts of each language, those with the smallest hashes of their ids,
+Prototypes are fitted on at most PER_LANGUAGE texts of each language, drawn by hashes of their ids
 among rows whose crc32(doc_id) mod 4 is not 2; they hold LANGUAGES languages at most, the most frequent of the sample.
 The predictor reads nothing but text.
 
@@ -134,8 +134,11 @@ def fold() -> F.Column:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes, each of length one."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = docs.where(fold() != 2).where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= PER_LANGUAGE).select("doc_id", "lang")
+    usable = docs.where(fold() != 2).where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+    # A frequent language is drawn from in parts first, so that no task sees all of its rows.
+    parts = usable.withColumn("part", F.pmod("draw", F.lit(64)))
+    some = parts.withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy("draw", "doc_id"))).where(F.col("at") <= PER_LANGUAGE // 16)
+    sample = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("at") <= PER_LANGUAGE).select("doc_id", "lang")
     largest = sample.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     chosen = sample.join(F.broadcast(largest), "lang")
     texts = docs.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
@@ -150,9 +153,17 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    total: dict[str, np.ndarray] = {}
-    for row in texts.mapInArrow(run, "lang string, v array<double>").toLocalIterator():
-        total[row.lang] = total.get(row.lang, 0) + np.array(row.v)
+    def merge(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[lang] = sums[lang] + v if lang in sums else np.array(v)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+
+    schema = "lang string, v array<double>"
+    # One row of SIZE numbers for each language comes to the driver.
+    total = {r.lang: np.array(r.v) for r in texts.mapInArrow(run, schema).repartition("lang").mapInArrow(merge, schema).collect()}
     names = sorted(k for k, v in total.items() if v.any())
     # Sums come in any order; rounding makes them the same in every run.
     rows = [np.round(total[k], 6) for k in names]

@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str],
     # A term that a shorter beginning matches with as much weight adds nothing.
     terms = {t: w for t, w in every.items() if not any(every.get(t.rstrip(" ")[:k], -1.0) >= w - 0.5 and t != t[:k] for k in BEGIN if k < len(t))}
     exceptions = _exceptions(sample, terms)
-    points = [(r.toxic, r.x) for r in _weighed(sample, terms, exceptions).select("toxic", "x").toLocalIterator()]
+    points = [(r.toxic, r.x) for r in _weighed(sample, terms, exceptions).select("toxic", "x").collect()]
     common.release(sample)
     x, y = np.log1p([p[1] for p in points]), np.array([float(p[0]) for p in points])
     a, b = 0.0, 0.0

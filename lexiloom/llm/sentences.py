@@ -5,8 +5,8 @@ hash says so, so that equal passages are cut alike wherever they begin. From eac
 shortest run of at least RUN sentences with at least WORDS words. Spans' hashes meet in a global join; the first
 span of each hash, by doc_id and place, stays, and every sentence that another one covers is removed.
 
-The least place of each hash is aggregated before the shuffle, and only hashes that occur twice are joined back, by
-a join whose hot keys Spark can split.
+The least place of each hash is aggregated before the shuffle, and only hashes that occur twice are written and joined
+back with spans made again; both sides of that join are dealt anew, so Spark can split its hot keys.
 
 Null and empty texts have no sentences and are returned as they are. Rows with one doc_id count as one document: the
 first span of such copies is the same place, so they stay alike. Rows with a null doc_id are returned unchanged and
@@ -88,6 +88,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, at, n, h): the spans that are not the first of their hash."""
     every = spans(docs.where("doc_id is not null"))
     first = every.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
+    first = common.cut(first)
     return every.join(first, "h").where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "n", "h")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once in a Python worker; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Edges that one task takes in the search for components.
 FEW_EDGES = 50_000
 #: Tables of cut() that are still there.

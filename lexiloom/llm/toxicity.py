@@ -115,10 +115,10 @@ def _terms_of(text: str) -> set[str]:
 
 
 def _counted(sample: DataFrame, of) -> DataFrame:
-    """(term, bad, good): texts of each kind with each term; those of an Arrow batch are counted together."""
+    """(term, bad, good): texts of each kind with each term; those of some rows are counted together, so a worker holds few terms."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 50) for b in batches for k in range(0, b.num_rows, 50)):
             sums = {True: Counter(), False: Counter()}
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums[toxic].update(of(text.as_py()))

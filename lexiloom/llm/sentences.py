@@ -1,9 +1,14 @@
 """Substring removal by sliding spans of sentences.
 
-A text is cut into sentences at . ! ? ; : and line ends; in a sentence of over LONG words, also after words whose
-hash says so, so that equal passages are cut alike wherever they begin. From each sentence starts one span: the
-shortest run of at least RUN sentences with at least WORDS words. Spans' hashes meet in a global join; the first
-span of each hash, by doc_id and place, stays, and every sentence that another one covers is removed.
+A text is cut into sentences at . ! ? ; : and line ends, and in a sentence also before the words that have the least
+hash of some PIECE words in a row (winnowing). So no sentence has over PIECE words, and equal passages are cut alike
+wherever they begin and end. From each sentence starts one span: the shortest run of at least RUN sentences with at
+least WORDS words. Spans' hashes meet in a global join; the first span of each hash, by doc_id and place, stays, and
+every sentence that another one covers is removed.
+
+Any WORDS + 3 * PIECE - 2 = 47 words that two texts share, with their stops, hold a span of both: their first PIECE
+words have a cut of both, WORDS words after it the next PIECE words have one, and only their last PIECE - 1 words may be
+cut in one text alone.
 
 The least place of each hash is aggregated before the shuffle, and only hashes that occur twice are written and joined
 back with spans made again; both sides of that join are dealt anew, so Spark can split its hot keys.
@@ -23,13 +28,29 @@ from pyspark.sql import functions as F
 from lexiloom.llm import common
 from lexiloom.llm.common import ALNUM, Words
 
-#: Sentences and words of a span at least; words from which a sentence is cut by hashes, one in PIECE on average.
-RUN, WORDS, LONG, PIECE = 3, 16, 48, 8
+#: Sentences and words of a span at least; most words of a sentence.
+RUN, WORDS, PIECE = 1, 16, 11
 
 _STOP = np.zeros(256, np.int32)
 _STOP[[ord(c) for c in ".!?;:\n\r"]] = 1
 
 
+def _least(h: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """The words whose hash is the least of some PIECE words in a row of one sentence; with ties, each of them."""
+    n = len(h) - PIECE + 1
+    if n <= 0:
+        return np.zeros(len(h), bool)
+    least = h[:n].copy()
+    for k in range(1, PIECE):
+        np.minimum(least, h[k : n + k], out=least)
+    least[sentence[:n] != sentence[PIECE - 1 :]] = 0
+    # A word's hash is not below the least of any row that it is in.
+    most = np.zeros(len(h), np.uint64)
+    for k in range(PIECE):
+        np.maximum(most[k : n + k], least, out=most[k : n + k])
+    return most == h
+
+
 class Sentences:
     """Of several texts: by sentence its first word's number, and by text its first sentence's number."""
 
@@ -43,11 +64,7 @@ class Sentences:
             starts[0] = True
             starts[1:] = stops[words.start[1:]] > stops[words.end[:-1]]
             starts[words.first[:-1][np.diff(words.first) > 0]] = True
-            self.first = np.flatnonzero(starts)
-            size = np.diff(np.append(self.first, n))
-            if (size > LONG).any():
-                long = np.repeat(size > LONG, size)
-                starts[1:] |= long[1:] & (words.hash[:-1] % np.uint64(PIECE) == 0)
+            starts |= _least(words.hash, np.cumsum(starts))
         self.first = np.flatnonzero(starts)
         self.text = np.searchsorted(self.first, words.first)
         self.edge = np.append(self.first, n)

@@ -62,3 +62,22 @@ def test_long_sentences_align(spark):
     got = {r.doc_id: r for r in sentences.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1].text == docs[0][1] and got[3].text == docs[2][1]
     assert len(docs[1][1]) - len(got[2].text) > 0.6 * len(passage)
+
+
+def test_passages_of_few_sentences(spark):
+    rnd = random.Random(12)
+    some = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(5)) for _ in range(n))
+    docs, passages = [], []
+    for k in range(40):
+        size = 51 + k % 3 * 10
+        # One sentence that begins and ends in the passage, two of them, or parts of longer ones.
+        one, stop = rnd.randint(22, 30), [". ", " "][k % 2]
+        passage = some(one) + (". " if k % 4 < 2 else " ") + some(size - one)
+        passages.append(passage)
+        docs += [(2 * k + j, some(rnd.randint(5, 40)) + stop + passage + stop + some(rnd.randint(5, 40))) for j in (0, 1)]
+    got = {r.doc_id: r for r in sentences.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = [set(WORD.findall(docs[2 * k + 1][1])) - set(WORD.findall(got[2 * k + 1].text)) for k in range(40)]
+    assert min(map(len, gone)) >= sentences.WORDS and sum(map(len, gone)) >= 0.7 * sum(len(p.split()) for p in passages)
+    # The first of them stay, and so does all that stands around the others.
+    assert all(got[2 * k].text == docs[2 * k][1] for k in range(40))
+    assert all(gone[k] <= set(WORD.findall(passages[k])) for k in range(40))

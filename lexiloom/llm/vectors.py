@@ -6,9 +6,11 @@ vectors of 8-bit components; a class keeps the best that it met. A list whose en
 enlarged, up to LARGEST. After each round a sample of vectors is compared with all rows by brute force; rounds go on
 until the neighbour graph joins TARGET of the sample's links, or nothing changes, or ROUNDS is reached.
 
-Edges near the threshold are verified in double precision, and the verified ones give components. Inside a component
-links are then counted by comparing its members in blocks of BLOCK, so lists longer than LARGEST lose none and no
-pairs are emitted. Reverse lists of hubs are dealt out in parts.
+Edges near the threshold are verified in double precision, and the verified ones of all rounds give components. A full
+list may leave out links to other components, so after each round the components that hold full lists are compared
+with each other, all members with all, in blocks; those of which a link exists are one. Inside a component links are
+then counted by comparing its members in blocks of BLOCK, so lists longer than LARGEST lose none and no pairs are
+emitted. Reverse lists of hubs are dealt out in parts.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most, link with
 nothing, and so do rows with a null vec_id (component_id null, not kept). Rows with equal vectors link with each
@@ -189,22 +191,98 @@ def _recall(truth: DataFrame, parts: DataFrame) -> float:
     return row.k / row.n if row.n else 1.0
 
 
+def _balls(made: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """(c, b, k, r, all): members of the components that hold a full list, in blocks, with each block's middle and angle."""
+    full = lists.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LARGEST).select("u")
+    placed = made.select("id", "v").join(parts, F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("component", "id").alias("c"))
+    crowded = placed.join(full, placed["id"] == full["u"], "left_semi").select("c").distinct()
+    members = placed.join(crowded, "c", "left_semi")
+    sizes = members.groupBy("c").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
+    groups = members.join(sizes, "c").groupBy("c", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b")).agg(F.collect_list("v").alias("all"))
+
+    def run(batches):
+        for batch in batches:
+            middles, angles, cells = [], [], []
+            for one in batch.column("all").to_pylist():
+                v = _matrix(one)
+                middle = v.mean(0)
+                middle /= np.sqrt((middle * middle).sum()) or 1
+                middles.append(middle.tobytes())
+                angles.append(float(np.arccos(np.clip(v @ middle, -1, 1)).max()))
+                cells.append(v.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("b"), pa.array(middles, pa.binary()), pa.array(angles, pa.float64()), pa.array(cells, pa.binary())], names=["c", "b", "k", "r", "all"])
+
+    return groups.mapInArrow(run, "c long, b int, k binary, r double, all binary")
+
+
+def crossing(made: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """(u, v): the components, of those that hold a full list, that some link joins, by comparing all their members.
+
+    A full list may have no room for links to other components. Blocks of members are compared unless the angle of
+    their middles rules out any link.
+    """
+    balls = common.cut(_balls(made, lists, parts))
+    number = -(-balls.count() // BLOCK)
+    mine = balls.select("c", "b", "k", "r").withColumn("block", F.pmod(F.xxhash64("c", "b"), F.lit(max(1, number))).cast("int"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(1, number) - 1))))
+    groups = dealt.groupBy(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("c", "b", "k", "r", "block")).alias("all"))
+
+    def close(batches):
+        for batch in batches:
+            for i, j, cell in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("all"), strict=True):
+                flat = cell.values
+                c, b, r, block = (flat.field(x).to_numpy() for x in ("c", "b", "r", "block"))
+                k = _matrix(flat.field("k").to_pylist())
+                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                angle = np.arccos(np.clip(k[left] @ k[right].T, -1, 1))
+                near = (angle <= np.arccos(THRESHOLD) + r[left][:, None] + r[right] + 1e-6) & ((c[left][:, None] < c[right]) if i == j else (c[left][:, None] != c[right]))
+                x, y = np.nonzero(near)
+                x, y = left[x], right[y]
+                yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(b[x]), pa.array(c[y]), pa.array(b[y])], names=["u", "x", "v", "y"])
+
+    near = groups.mapInArrow(close, "u long, x int, v long, y int")
+    mine, other = (balls.select(F.col("c").alias(c), F.col("b").alias(b), F.col("all").alias(name)) for c, b, name in (("u", "x", "a"), ("v", "y", "z")))
+    pairs = near.join(mine, ["u", "x"]).join(other, ["v", "y"]).select("u", "v", "a", "z")
+
+    first = made.select(F.octet_length("v").alias("n")).head(1)
+    width = first[0].n // 8 if first else 1
+
+    def linked(batches):
+        for batch in batches:
+            hit = []
+            for a, z in zip(batch.column("a"), batch.column("z"), strict=True):
+                a, z = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, width) for x in (a, z))
+                hit.append(bool((a @ z.T >= THRESHOLD).any()))
+            yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
+
+    joined = common.cut(pairs.mapInArrow(linked, "u long, v long").distinct())
+    common.release(balls)
+    return joined
+
+
 def graph(made: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """Components of the verified neighbour graph, its edges, and the audited recall."""
+    """Components of the links verified in all rounds and of those between crowded components, the last edges, and the audited recall."""
     truth = common.cut(true_links(made))
     lists = common.cut(_best(first_lists(made)))
-    before = None
+    before, held = None, None
     for number in range(ROUNDS + 1):
         edges = common.cut(_verified(lists, made))
         have = edges.count()
+        # What an earlier round has joined stays joined, even if full lists have no room for its edges now.
+        held = edges.select("u", "v") if held is None else held.union(edges.select("u", "v"))
         if number >= 2:
-            parts = common.components(edges)
+            parts = common.components(held)
+            found = crossing(made, lists, parts)
+            held = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)
+            if found.head(1):
+                parts = common.components(held)
+                held = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
             recall = _recall(truth, parts)
             if recall >= TARGET and (before is None or have <= 1.02 * before) or number == ROUNDS:
                 break
         before = have
         new = common.cut(_best(lists.select("u", "v", "s").union(_meet(lists, made))))
-        common.release(lists, edges)
+        common.release(lists)
         lists = new
     common.release(truth, lists)
     return parts, edges, recall

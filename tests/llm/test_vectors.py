@@ -54,5 +54,19 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert all(got[3000 + k] == (3000 + k, 0, 3000 + k, True) for k in range(7))
 
 
+def test_links_between_crowded_groups(spark, monkeypatch):
+    # Two groups of near-equal vectors, all of which link, and a third one that does not; lists have no room for the other group.
+    monkeypatch.setattr(vectors, "LARGEST", 12)
+    rng = np.random.default_rng(8)
+    one, side, far = rng.standard_normal((3, 24))
+    side -= side @ one / (one @ one) * one
+    two = one + side / np.linalg.norm(side) * np.linalg.norm(one) * 0.2
+    rows = [(1000 * g + k, (mid + rng.standard_normal(24) * 0.03).tolist()) for g, mid in enumerate((one, two, far)) for k in range(100)]
+    got = {r.vec_id: tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    want = {r[0]: r for r in brute(rows)}
+    assert {w[2] for w in want.values()} == {0, 2000} and want[5][1] == want[1005][1] == 199
+    assert got == want
+
+
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

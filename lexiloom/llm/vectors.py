@@ -3,8 +3,9 @@
 Equal vectors are one class. Each class keeps a list of its nearest ones, begun with its neighbours in a few orders by
 random hyperplanes. In every round, the members of each list and of its reverse meet (neighbours of neighbours), on
 vectors of 8-bit components; a class keeps the best that it met. A list whose entries all reach the threshold is
-enlarged, up to LARGEST. After each round a sample of vectors is compared with all rows by brute force; rounds go on
-until the neighbour graph joins TARGET of the sample's links, or nothing changes, or ROUNDS is reached.
+enlarged, up to LARGEST. A sample of all vectors and one of those with links are compared with all rows by brute force;
+rounds go on until the neighbour graph joins TARGET of the samples' links and grows no more, or ROUNDS is reached. A
+graph that then joins less than FLOOR of them is an error.
 
 Edges near the threshold are verified in double precision, and the verified ones of all rounds give components. A full
 list may leave out links to other components, so after each round the components that hold full lists are compared
@@ -31,8 +32,8 @@ from lexiloom.llm import common
 THRESHOLD, LIST, LARGEST, ROUNDS = 0.95, 10, 48, 10
 #: Orders by hyperplanes, signs of each, and followers that a vector meets in them; what a member may propose in one meeting.
 ORDERS, SIGNS, NEXT, PROPOSE = 6, 20, 5, 4
-#: Members of a hub's reverse list in one part; vectors of a block; vectors of the audit, and the part of their links to reach.
-PART, BLOCK, AUDIT, TARGET = 128, 1024, 256, 0.995
+#: Members of a hub's reverse list in one part; vectors of a block; vectors of the audit, the part of their links to reach, and the least part.
+PART, BLOCK, AUDIT, TARGET, FLOOR = 128, 1024, 256, 0.995, 0.9
 #: How far 8-bit cosines may be off.
 SLACK = 0.02
 
@@ -170,9 +171,10 @@ def _verified(lists: DataFrame, made: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, "u long, v long")
 
 
-def true_links(made: DataFrame, count: int = AUDIT) -> DataFrame:
-    """(u, v): all links of a sample of vectors, by comparing it with all rows; the sample is broadcast."""
-    sample = made.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(count).collect()
+def true_links(made: DataFrame, count: int = AUDIT, among: DataFrame | None = None) -> DataFrame:
+    """(u, v): all links of a sample of vectors, of those with an id in among, by comparing it with all rows; the sample is broadcast."""
+    chosen = made if among is None else made.join(among, "id", "left_semi")
+    sample = chosen.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(count).collect()
     ids, mine = np.array([r.id for r in sample], np.int64), [bytes(r.v) for r in sample]
 
     def run(batches):
@@ -262,8 +264,9 @@ def crossing(made: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
 
 def graph(made: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     """Components of the links verified in all rounds and of those between crowded components, the last edges, and the audited recall."""
-    truth = common.cut(true_links(made))
+    truth = drawn = common.cut(true_links(made))
     lists = common.cut(_best(first_lists(made)))
+    linked = None
     before, held = None, None
     for number in range(ROUNDS + 1):
         edges = common.cut(_verified(lists, made))
@@ -277,6 +280,10 @@ def graph(made: DataFrame) -> tuple[DataFrame, DataFrame, float]:
             if found.head(1):
                 parts = common.components(held)
                 held = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            if linked is None:
+                # A sample of all vectors may have no links; one of those with a link has some.
+                linked = common.cut(true_links(made, among=parts.select(F.col("node").alias("id"))))
+                truth = drawn.union(linked).distinct()
             recall = _recall(truth, parts)
             if recall >= TARGET and (before is None or have <= 1.02 * before) or number == ROUNDS:
                 break
@@ -284,7 +291,9 @@ def graph(made: DataFrame) -> tuple[DataFrame, DataFrame, float]:
         new = common.cut(_best(lists.select("u", "v", "s").union(_meet(lists, made))))
         common.release(lists)
         lists = new
-    common.release(truth, lists)
+    common.release(drawn, linked, lists)
+    if recall < FLOOR:
+        raise RuntimeError(f"neighbour lists reach {recall:.3f} of the audited links after {ROUNDS} rounds")
     return parts, edges, recall
 
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from lexiloom.llm import vectors
 
@@ -68,5 +69,20 @@ def test_links_between_crowded_groups(spark, monkeypatch):
     assert got == want
 
 
+def test_audit_of_few_links(spark, monkeypatch):
+    # One pair of vectors links; the audit holds it, and a graph without it is an error.
+    monkeypatch.setattr(vectors, "ROUNDS", 2)
+    v = np.random.default_rng(5).standard_normal((600, 24))
+    v[599] = v[0] + 0.01
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    held, recall = [], vectors._recall
+    monkeypatch.setattr(vectors, "_recall", lambda truth, parts: held.append(truth.count()) or recall(truth, parts))
+    assert {r.vec_id for r in vectors.near_duplicates(df).where("n_links > 0").collect()} == {0, 599}
+    assert held == [2]
+    monkeypatch.setattr(vectors, "_recall", lambda truth, parts: 0.5)
+    with pytest.raises(RuntimeError):
+        vectors.near_duplicates(df)
+
+
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import common
 
-#: Labelled rows that are learned from, terms, exceptions, and texts of the sample that must have a term.
+#: Labelled rows that are learned from, terms, exceptions, and toxic texts of a large sample that must have a term.
 SAMPLE, TERMS, EXCEPTIONS, LEAST = 12_000, 4000, 4000, 8
 #: Least log-odds of a term; lengths of a word's beginnings; the score from which a text counts as toxic.
 ODDS, BEGIN, CUT = 2.5, range(4, 8), 0.3
@@ -137,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str],
         common.release(sample)
         return {}, set(), (-1e9 if not bad else 1e9, 0.0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    rows = _counted(sample, _terms_of).where(f"bad >= {LEAST}").withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc("odds"), F.desc("bad"), "term").limit(TERMS).collect()
+    # LEAST is for samples of many toxic texts; of few, a hundredth but three at least.
+    least = max(3, min(LEAST, -(-bad // 100)))
+    rows = _counted(sample, _terms_of).where(f"bad >= {least}").withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc("odds"), F.desc("bad"), "term").limit(TERMS).collect()
     every = {r.term: r.odds for r in rows}
     # A term that a shorter beginning matches with as much weight adds nothing.
     terms = {t: w for t, w in every.items() if not any(every.get(t.rstrip(" ")[:k], -1.0) >= w - 0.5 and t != t[:k] for k in BEGIN if k < len(t))}
@@ -161,6 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str],
 
 def _exceptions(sample: DataFrame, terms: dict[str, float]) -> set[str]:
     """Phrases that at least three clean texts have and nine times as many of them as of toxic ones."""
+    if not terms:
+        return set()
 
     def of(text: str) -> set[str]:
         lexicon = _made(terms, set())

@@ -46,3 +46,15 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [0.0, 0.0]
     assert toxicity.score(docs.where("false"), toxicity.fit(docs, labels)).count() == 0
+
+
+def test_few_labels(spark):
+    rnd = random.Random(3)
+    clean = ["".join(rnd.choice("aeionrst") for _ in range(6)) for _ in range(300)]
+    docs = [(i, " ".join([*rnd.choices(clean, k=30), *(["zgrump"] if i % 6 == 0 else [])])) for i in range(36)]
+    rows, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    assert any("zgrump ".startswith(t) for t in toxicity.fit(rows, labels)[0])
+    assert {r.doc_id for r in toxicity.reject(rows, labels).collect()} == {i for i, _ in docs if i % 6}
+    # Too few for any term: no text is rejected by one.
+    one = labels.where("doc_id = 0 or toxic = 0")
+    assert toxicity.fit(rows, one)[:2] == ({}, set()) and toxicity.reject(rows, one).count() == 36

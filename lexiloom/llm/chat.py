@@ -120,7 +120,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 )
                 number += n
 
-    return turns.mapInArrow(run, "conv_id long, piece long, n_turns long, formatted binary, loss array<long>")
+    return turns.mapInArrow(common.task(run), "conv_id long, piece long, n_turns long, formatted binary, loss array<long>")
 
 
 def read_turns(formatted: bytes) -> list[tuple[str, str]]:
@@ -179,7 +179,7 @@ def digests(pieces: DataFrame) -> DataFrame:
 
     # A hash is a sequence: a conversation's pieces meet in one task, which streams them.
     dealt = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").select("conv_id", "formatted", "loss")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.mapInArrow(common.task(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,20 +6,26 @@ with offsets, and words, hashes and shingles are computed over all its rows at o
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that are handled at once in a Python worker; a longer text is handled alone.
 SLICE_BYTES = 1 << 18
 #: Edges that one task takes in the search for components.
 FEW_EDGES = 50_000
+#: Bytes of an Arrow batch, and rows.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 250
+#: Keys that spread() salts at most, and rows of a key with which it may be one.
+HOT, HOT_ROWS = 4096, 1000
 #: Tables of cut() that are still there.
 _WRITTEN: dict[str, SparkSession] = {}
 
@@ -29,17 +35,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a batch of long texts fits a worker, and a checkpoint folder.
+    """Arrow batches of bounded rows and bytes, so that a batch of long texts fits a worker, and a checkpoint folder.
 
-    The folder is the cluster's spark.checkpoint.dir; only where none is set (tests) it is a new local one.
+    The folder is spark.checkpoint.dir. Where none is set, a session in one process (tests) gets a new local one; on a
+    cluster, whose machines share no local folder, that is an error.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexiloom-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiloom-checkpoint-"))
     return spark
 
 
+def task(run: Callable) -> Callable:
+    """run, a function of mapInArrow, after which the worker gives back what the task no longer needs.
+
+    Workers live on after a task, so memory that one stage has freed but not returned would add to the next one's.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
+def tidy() -> None:
+    """Returns free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not glibc.
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table to the checkpoint folder, which all executors share, and read from there; its lineage ends."""
     spark = prepare(df.sparkSession)
@@ -104,18 +140,21 @@ ALNUM = _table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
 _TERMS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _STEP), ("down", _BACK)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = []
+    for base in (_STEP, _BACK):
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        made.append(np.multiply.accumulate(x))
+    return made[0], made[1]
+
+
+#: Bytes whose words are hashed at once; a longer word is hashed alone.
+HASHED = 1 << 16
+_UP, _DOWN = _powers(HASHED)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,12 +182,25 @@ class Words:
         after[off[1:][full] - 1] = False
         self.start = np.flatnonzero(is_word & ~before)
         self.end = np.flatnonzero(is_word & ~after) + 1
-        up, down = _powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[low] * up, out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = self._hashed()
         self.first = np.searchsorted(self.start, off)
 
+    def _hashed(self) -> np.ndarray:
+        """A polynomial of each word's bytes; words are taken in stretches of bounded length, so powers and sums are, too."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            at = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, at + HASHED, "right")))
+            size = int(self.end[j - 1]) - at
+            up, down = (_UP, _DOWN) if size <= HASHED else _powers(size)
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(_BYTE[self.low[at : at + size]] * up[:size], out=total[1:])
+            a, b = self.start[i:j] - at, self.end[i:j] - at
+            out[i:j] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+            i = j
+        return out
+
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of k words that lies in one text, and by text the first run's number (texts of fewer words have none)."""
         h, n = self.hash, len(self.hash)
@@ -171,6 +223,33 @@ def texts_of(batches, *columns: str):
             yield batch, i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
+# --- joins with hot keys --------------------------------------------------------
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined on key with table, which has one row of a key and, in the column count, how many rows have the key (at least).
+
+    A key that over a HOTth of all rows have is hot, so there are fewer than HOT hot keys, whatever the size; they are
+    broadcast. A hot key's rows are dealt to several tasks by all their columns, and its row of table goes to each.
+    The result has the columns of rows, then the others of table without count.
+    """
+    others = [c for c in table.columns if c not in (key, count)]
+    if how == "left":
+        # Null keys match nothing, and all of them would meet in one task.
+        void = rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in others))
+        return spread(rows.where(F.col(key).isNotNull()), table, key, count, "left_outer").union(void)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT)
+    hot = table.where(F.col(count) > most).select(F.col(key).alias("hot key"), F.ceil(F.col(count) / most).cast("int").alias("parts")).collect()
+    if not hot:
+        return rows.join(table.drop(count), key, how).select(*rows.columns, *others)
+    kind = table.schema[key].dataType
+    small = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in hot], StructType().add("hot key", kind).add("parts", "integer")))
+    mine = rows.join(small, F.col(key) == F.col("hot key"), "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("parts"))).cast("int")).drop("hot key", "parts")
+    theirs = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > most, F.ceil(F.col(count) / most).cast("int") - 1).otherwise(0))))
+    return mine.join(theirs.drop(count), [key, "salt"], how).select(*rows.columns, *others)
+
+
 # --- connected components -----------------------------------------------------
 
 

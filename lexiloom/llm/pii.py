@@ -445,7 +445,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 found += scan_slice(field, data[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([told(x[0]) for x in found], pa.string()), pa.array([told(x[1]) for x in found], pa.string())], names=["doc_id", "base", "spans"])
 
-    return common.own(docs, "doc_id", "text").mapInArrow(run, "doc_id long, base string, spans string")
+    return common.own(docs, "doc_id", "text").mapInArrow(common.task(run), "doc_id long, base string, spans string")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,4 +458,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             digest = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, batch.column("spans")], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return scan(common.read(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return scan(common.read(spark, sf_dir, "documents")).mapInArrow(common.task(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

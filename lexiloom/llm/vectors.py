@@ -59,7 +59,7 @@ def classes(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in q], pa.binary())], names=["id", "w", "v", "q"])
 
     same = full.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"))
-    return same.mapInArrow(run, "id long, w long, v binary, q binary")
+    return same.mapInArrow(common.task(run), "id long, w long, v binary, q binary")
 
 
 def _unit(cells) -> np.ndarray:
@@ -102,8 +102,8 @@ def first_lists(made: DataFrame) -> DataFrame:
             held = table.slice(max(0, table.num_rows - NEXT))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]), pa.int64()), pa.array(np.concatenate([x[1] for x in out]), pa.int64()), pa.array(np.concatenate([x[2] for x in out]), pa.float32())], names=["u", "v", "s"])
 
-    keyed = made.select("id", "q").mapInArrow(keys, "o int, key long, id long, q binary")
-    return keyed.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id").mapInArrow(pairs, "u long, v long, s float")
+    keyed = made.select("id", "q").mapInArrow(common.task(keys), "o int, key long, id long, q binary")
+    return keyed.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id").mapInArrow(common.task(pairs), "u long, v long, s float")
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _meet(lists: DataFrame, made: DataFrame) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64()), pa.array(np.concatenate(ss), pa.float32())], names=["u", "v", "s"])
 
-    return groups.select("all").mapInArrow(run, "u long, v long, s float")
+    return groups.select("all").mapInArrow(common.task(run), "u long, v long, s float")
 
 
 def _verified(lists: DataFrame, made: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _verified(lists: DataFrame, made: DataFrame) -> DataFrame:
                 s = (_matrix(batch.column("a").to_pylist()) * _matrix(batch.column("b").to_pylist())).sum(1)
                 yield batch.select(["u", "v"]).filter(pa.array(s >= THRESHOLD))
 
-    return whole.mapInArrow(run, "u long, v long")
+    return whole.mapInArrow(common.task(run), "u long, v long")
 
 
 def true_links(made: DataFrame, count: int = AUDIT, among: DataFrame | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def true_links(made: DataFrame, count: int = AUDIT, among: DataFrame | None = No
                 u, v = ids[j], batch.column(0).to_numpy()[i]
                 yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
-    return made.select("id", "v").mapInArrow(run, "u long, v long")
+    return made.select("id", "v").mapInArrow(common.task(run), "u long, v long")
 
 
 def _recall(truth: DataFrame, parts: DataFrame) -> float:
@@ -214,7 +214,7 @@ def _balls(made: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
                 cells.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("b"), pa.array(middles, pa.binary()), pa.array(angles, pa.float64()), pa.array(cells, pa.binary())], names=["c", "b", "k", "r", "all"])
 
-    return groups.mapInArrow(run, "c long, b int, k binary, r double, all binary")
+    return groups.mapInArrow(common.task(run), "c long, b int, k binary, r double, all binary")
 
 
 def crossing(made: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def crossing(made: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
                 x, y = left[x], right[y]
                 yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(b[x]), pa.array(c[y]), pa.array(b[y])], names=["u", "x", "v", "y"])
 
-    near = groups.mapInArrow(close, "u long, x int, v long, y int")
+    near = groups.mapInArrow(common.task(close), "u long, x int, v long, y int")
     mine, other = (balls.select(F.col("c").alias(c), F.col("b").alias(b), F.col("all").alias(name)) for c, b, name in (("u", "x", "a"), ("v", "y", "z")))
     pairs = near.join(mine, ["u", "x"]).join(other, ["v", "y"]).select("u", "v", "a", "z")
 
@@ -257,7 +257,7 @@ def crossing(made: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
                 hit.append(bool((a @ z.T >= THRESHOLD).any()))
             yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
-    joined = common.cut(pairs.mapInArrow(linked, "u long, v long").distinct())
+    joined = common.cut(pairs.mapInArrow(common.task(linked), "u long, v long").distinct())
     common.release(balls)
     return joined
 
@@ -327,7 +327,7 @@ def counted(made: DataFrame, parts: DataFrame) -> DataFrame:
                     comps.append(np.full(len(who), c))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(comps), pa.int64()), pa.array(np.concatenate(sums).astype(np.int64))], names=["id", "component", "links"])
 
-    return groups.mapInArrow(run, "id long, component long, links long").groupBy("id", "component").agg(F.sum("links").alias("links"))
+    return groups.mapInArrow(common.task(run), "id long, component long, links long").groupBy("id", "component").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:

@@ -5,14 +5,17 @@ backward search with ranks from a wavelet matrix, locates the occurrences by wal
 and merges them to removal spans. Words that no phrase has are one separator symbol, and stretches shorter than
 the shortest phrase hold no occurrence, so neither is indexed; this is exact, whatever the corpus.
 
-Phrases are broadcast in blocks of at most BLOCK_BYTES; a larger benchmark takes several passes over the texts.
+Phrases are broadcast in blocks of at most BLOCK_BYTES, which a worker turns once into rows of numbers; a larger
+benchmark takes several passes over the texts. The driver reads the benchmark block by block and holds one at a time.
 Null texts have no words; benchmark rows without words or without an id are no items; rows with equal ids or texts
-are judged each for itself; empty tables give empty results or documents without hits; clashing columns are not read.
+are judged each for itself; empty tables give empty results or documents without hits; columns of any name pass
+through remove() as they are, n_words, hit_words and items among them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from lexiloom.llm.common import ALNUM, Words
 #: Words of a window; a shorter item is one window.
 WINDOW = 13
 #: Bytes of benchmark text in one pass; bytes of text and indexed words of a shard; distance of sampled suffixes.
-BLOCK_BYTES, SHARD_BYTES, SHARD_WORDS, SAMPLE = 8 << 20, 16 << 20, 4 << 20, 8
+BLOCK_BYTES, SHARD_BYTES, SHARD_WORDS, SAMPLE = 4 << 20, 16 << 20, 4 << 20, 8
 
 
 class Phrases:
@@ -34,23 +37,29 @@ class Phrases:
     def __init__(self, items: list[tuple[str, str]]):
         self.ids = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.ids)}
+        owner = np.array([number[i] for i, _ in items], np.int64)
         data, off = common.flat(pa.array([t for _, t in items], pa.string()))
         words = Words(data, off, ALNUM)
         self.vocabulary, symbols = np.unique(words.hash, return_inverse=True)
-        symbols = symbols.astype(np.int64) + 1
+        symbols = symbols.astype(np.int32) + 1
         self.near = np.zeros(1 << 16, bool)
         self.near[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        owners: dict[tuple, set[int]] = {}
-        for k, (i, _) in enumerate(items):
-            own = symbols[words.first[k] : words.first[k + 1]].tolist()
-            for j in range(max(1, len(own) - WINDOW + 1) if own else 0):
-                owners.setdefault(tuple(own[j : j + WINDOW]), set()).add(number[i])
-        self.shortest = min(map(len, owners), default=0)
+        size = np.diff(words.first)
         self.groups = []
-        for n in sorted({len(w) for w in owners}):
-            rows = [w for w in owners if len(w) == n]
-            of = [sorted(owners[w]) for w in rows]
-            self.groups.append((n, np.array(rows, np.int64), np.concatenate(of), np.concatenate(([0], np.cumsum([len(x) for x in of])))))
+        for n in np.unique(np.minimum(size[size > 0], WINDOW)).tolist():
+            own = np.flatnonzero(size >= n if n == WINDOW else size == n)
+            many = size[own] - n + 1
+            # The first word of each window, and its item.
+            start = np.repeat(words.first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            # Equal windows have equal digests of their symbols.
+            digest = np.zeros(len(start), np.uint64)
+            for k in range(n):
+                digest += common.mix(symbols[start + k].astype(np.uint64)) * common._TERMS[k]
+            _, first, which = np.unique(digest, return_index=True, return_inverse=True)
+            pairs = np.unique(which * len(self.ids) + np.repeat(owner[own], many))
+            rows = symbols[start[first][:, None] + np.arange(n)]
+            self.groups.append((n, rows, (pairs % len(self.ids)).astype(np.int32), np.searchsorted(pairs // len(self.ids), np.arange(len(first) + 1))))
+        self.shortest = min((g[0] for g in self.groups), default=0)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbol of each word, 0 if no phrase has it."""
@@ -145,19 +154,32 @@ class FMIndex:
         return out
 
 
+_MADE: dict[int, Phrases] = {}
+
+
+def _phrases(shared) -> Phrases:
+    """The phrases of a broadcast block, made once in a process."""
+    if shared.value[0] not in _MADE:
+        _MADE.clear()
+        _MADE[shared.value[0]] = Phrases(shared.value[1])
+    return _MADE[shared.value[0]]
+
+
 class Shard:
     """Texts of one index: adds slices, then finds the hit words of all."""
 
     def __init__(self, phrases: Phrases):
-        self.phrases, self.parts, self.words, self.bytes = phrases, [], [], 0
+        self.phrases, self.parts, self.words = phrases, [], []
+        self.bytes = self.texts = self.symbols_held = 0
 
     def add(self, data: np.ndarray, off: np.ndarray) -> None:
         words = Words(data, off, ALNUM)
         symbols = self.phrases.symbols(words.hash)
         known = symbols > 0
         n = len(known)
-        base = sum(map(len, self.words))
+        base = self.texts
         self.words.append(np.diff(words.first))
+        self.texts += len(off) - 1
         self.bytes += len(data)
         if not n:
             return
@@ -171,11 +193,12 @@ class Shard:
         a, b = a[long], b[long]
         doc = np.searchsorted(words.first, a, "right") - 1
         for x, y, d in zip(a.tolist(), b.tolist(), doc.tolist(), strict=True):
-            self.parts.append((base + d, x - int(words.first[d]), symbols[x:y]))
+            self.parts.append((base + d, x - int(words.first[d]), symbols[x:y].astype(np.int32)))
+            self.symbols_held += y - x + 1
 
     @property
     def indexed(self) -> int:
-        return sum(len(p[2]) + 1 for p in self.parts)
+        return self.symbols_held
 
     def hits(self) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, set[int]]]]:
         """Words of each text, and by text with hits its hit words' flags and its items."""
@@ -204,18 +227,18 @@ class Shard:
         return counts, found
 
 
-def _items(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """Items in blocks of bounded size; the driver holds one benchmark, whose size is that of a test set, not of the corpus."""
+def _items(benchmark: DataFrame):
+    """Items in blocks of bounded size."""
     rows = common.own(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
-    blocks: list[list[tuple[str, str]]] = [[]]
+    block: list[tuple[str, str]] = []
     size = 0
     for i, text in rows.toLocalIterator():
-        if size + len(text) > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, text))
+        if size + len(text) > BLOCK_BYTES and block:
+            yield block
+            block, size = [], 0
+        block.append((i, text))
         size += len(text)
-    return blocks
+    yield block
 
 
 def _merged(old: tuple[bytes, str] | None, flags: np.ndarray | None, ids: set[str]) -> tuple[bytes, str]:
@@ -226,20 +249,36 @@ def _merged(old: tuple[bytes, str] | None, flags: np.ndarray | None, ids: set[st
     return (b"" if bits is None else bits.astype(np.uint8).tobytes()), ",".join(sorted(have | ids))
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """names, lengthened until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True) -> DataFrame:
     """The rows of docs (without text, if it isn't kept) with n_words, hit_words (a byte for each word, empty if none is hit) and items (ids, sorted as strings, comma-joined).
 
-    docs needs the column text and must not have these three.
+    docs needs the column text. If it has one of the three names, the new column's name is lengthened by underscores.
     """
     spark = common.prepare(docs.sparkSession)
     out = docs
+    added = _free(docs, "n_words", "hit_words", "items")
+    given = docs.columns
     blocks = _items(benchmark)
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(block)
-        columns = [c for c in out.columns if c not in ("n_words", "hit_words", "items") and (keep_text or c != "text" or k + 1 < len(blocks))]
+    block = next(blocks)
+    k = 0
+    while block is not None:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().int, block))
+        columns = [c for c in given if keep_text or c != "text" or following is not None]
 
         def run(batches, shared=shared, columns=columns, again=k > 0):
-            phrases = Phrases(shared.value)
+            phrases = _phrases(shared)
             shard, held = Shard(phrases), []
 
             def done():
@@ -247,14 +286,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True) -> DataF
                 at = 0
                 for batch in held:
                     n = batch.num_rows
-                    old = list(zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)) if again else [None] * n
+                    names = batch.schema.names
+                    old = list(zip(*(batch.column(names.index(c)).to_pylist() for c in added[1:]), strict=True)) if again else [None] * n
                     new = [_merged(old[i], *((x[0], {phrases.ids[j] for j in x[1]}) if (x := found.get(at + i)) else (None, set()))) for i in range(n)]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(counts[at : at + n], pa.int64()), pa.array([x[0] for x in new], pa.binary()), pa.array([x[1] for x in new], pa.string())], names=[*columns, "n_words", "hit_words", "items"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in columns), pa.array(counts[at : at + n], pa.int64()), pa.array([x[0] for x in new], pa.binary()), pa.array([x[1] for x in new], pa.string())], names=[*columns, *added])
                     at += n
 
             for batch in batches:
                 held.append(batch)
-                data, off = common.flat(batch.column(batch.schema.get_field_index("text")))
+                data, off = common.flat(batch.column(batch.schema.names.index("text")))
                 for i, j in common.slices(off):
                     shard.add(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 if shard.bytes >= SHARD_BYTES or shard.indexed >= SHARD_WORDS:
@@ -263,19 +303,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True) -> DataF
             if held:
                 yield from done()
 
-        schema = out.select(*columns).schema.add("n_words", "long").add("hit_words", "binary").add("items", "string")
-        out = out.mapInArrow(run, schema)
+        schema = out.select(*(f"`{c}`" for c in columns)).schema.add(added[0], "long").add(added[1], "binary").add(added[2], "string")
+        out = out.mapInArrow(common.task(run), schema)
+        block = following
+        k += 1
     return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the removal spans cut out of text, n_chars set anew; texts of which no word stays go."""
     kept = docs.columns
+    _, hit_words, _ = _free(docs, "n_words", "hit_words", "items")
 
     def cut(batches):
         for batch in batches:
             texts, sizes, stay = [], [], []
-            flags = batch.column("hit_words").to_pylist()
+            flags = batch.column(hit_words).to_pylist()
             old = batch.column("text")
             for i, bits in enumerate(flags):
                 text = old[i].as_py()
@@ -297,7 +340,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in kept], names=kept).filter(pa.array(stay, pa.bool_()))
 
-    return scan(docs, benchmark).mapInArrow(cut, docs.schema)
+    return scan(docs, benchmark).mapInArrow(common.task(cut), docs.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +357,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(common.task(digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

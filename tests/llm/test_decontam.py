@@ -69,3 +69,29 @@ def test_removal(spark):
     got = {r.doc_id: (r.text, r.items2, r.n_chars) for r in decontam.remove(docs, bench).collect()}
     assert got == {1: ("Before, ; after", None, 15), 3: ("clean", "b", 5), 4: (None, "c", None)}
     assert decontam.remove(docs, bench.where("false")).count() == 4
+
+
+def test_clashing_columns_stay(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"Before, {item}; after", "mine", 7, "x", "y"), (2, "clean", None, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_words int, hit_words string, Items_ string")
+    bench = spark.createDataFrame([(k, f"{item} {k}") for k in range(3)], "item_id long, text string")
+    got = {tuple(r) for r in decontam.remove(docs, bench).collect()}
+    assert got == {(1, "Before, ; after", "mine", 7, "x", "y"), rows[1]}
+
+
+def test_memory_of_phrases():
+    import tracemalloc
+
+    rnd = random.Random(2)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(30_000)]
+    items, size = [], 0
+    while size < 8 << 20:
+        items.append((str(len(items)), " ".join(rnd.choices(vocabulary, k=300))))
+        size += len(items[-1][1])
+    tracemalloc.start()
+    made = decontam.Phrases(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.groups[0][1].shape == (len(items) * 288, 13)
+    assert peak < 400 << 20, peak >> 20

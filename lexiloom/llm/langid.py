@@ -6,8 +6,8 @@ language's prototype those of its training texts, each scaled to length one. A t
 prototype has the largest cosine with it. Everything that is no letter is a blank, and blanks next to each other are one.
 
 Prototypes are fitted on at most PER_LANGUAGE texts of each language, drawn by hashes of their ids
-among rows whose crc32(doc_id) mod 4 is not 2; they hold LANGUAGES languages at most, the most frequent of the sample.
-The predictor reads nothing but text.
+among rows whose crc32(doc_id) mod 4 is not 2. Every language of them has one: the driver holds SIZE numbers for each,
+and workers take them in blocks of BLOCK, one pass over the texts for each block. The predictor reads nothing but text.
 
 Texts that are null or have no letter, and all texts if nothing could be learned, get `und` and score 0. Of equal
 cosines the first language in order of names wins; rows with equal ids or texts are judged each for itself; empty
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import common
 
-#: Components of a vector; training texts of a language and languages at most.
-SIZE, PER_LANGUAGE, LANGUAGES = 1024, 400, 500
+#: Components of a vector; training texts of a language at most; languages whose prototypes a worker holds at once.
+SIZE, PER_LANGUAGE, BLOCK = 1024, 400, 4096
 #: Trigrams whose vectors are added in one product of matrices.
 COLUMNS = 4096
 
@@ -139,9 +139,9 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     parts = usable.withColumn("part", F.pmod("draw", F.lit(64)))
     some = parts.withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy("draw", "doc_id"))).where(F.col("at") <= PER_LANGUAGE // 16)
     sample = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("at") <= PER_LANGUAGE).select("doc_id", "lang")
-    largest = sample.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    chosen = sample.join(F.broadcast(largest), "lang")
-    texts = docs.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # As a written table its size is known, so it is broadcast only if it is small.
+    chosen = common.cut(sample)
+    texts = docs.where("text is not null").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -163,7 +163,8 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     schema = "lang string, v array<double>"
     # One row of SIZE numbers for each language comes to the driver.
-    total = {r.lang: np.array(r.v) for r in texts.mapInArrow(run, schema).repartition("lang").mapInArrow(merge, schema).collect()}
+    total = {r.lang: np.array(r.v) for r in texts.mapInArrow(common.task(run), schema).repartition("lang").mapInArrow(common.task(merge), schema).collect()}
+    common.release(chosen)
     names = sorted(k for k, v in total.items() if v.any())
     # Sums come in any order; rounding makes them the same in every run.
     rows = [np.round(total[k], 6) for k in names]
@@ -171,23 +172,32 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (cosine, not below 0) of each row."""
-    common.prepare(docs.sparkSession)
+    """doc_id, held_out, lang_pred and score (cosine, not below 0) of each row; with many languages, in a pass for each block of them."""
+    spark = common.prepare(docs.sparkSession)
     names, prototypes = model
-
-    def run(batches):
-        for batch in batches:
-            made = vectors(batch.column("text")).astype(np.float64)
-            length = np.linalg.norm(made, axis=1)
-            if names:
-                cosine = made @ prototypes.T / np.maximum(length, 1e-9)[:, None]
+    out = docs.select("doc_id", (fold() == 2).alias("held_out"), "text", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    for at in range(0, len(names), BLOCK):
+        shared = spark.sparkContext.broadcast((names[at : at + BLOCK], prototypes[at : at + BLOCK]))
+        kept = ["doc_id", "held_out", *(["text"] if at + BLOCK < len(names) else [])]
+
+        def run(batches, shared=shared, kept=kept, first=at == 0):
+            some, rows = shared.value
+            for batch in batches:
+                made = vectors(batch.column("text")).astype(np.float64)
+                length = np.linalg.norm(made, axis=1)
+                cosine = made @ rows.T / np.maximum(length, 1e-9)[:, None]
                 best = cosine.argmax(1)
                 score = np.clip(cosine[np.arange(len(made)), best], 0, 1)
-            known = length > 0 if names else np.zeros(len(made), bool)
-            lang = [names[best[i]] if known[i] else "und" for i in range(len(made))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array([float(score[i]) if known[i] else 0.0 for i in range(len(made))], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", (fold() == 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+                lang, old = batch.column("lang_pred").to_pylist(), batch.column("score").to_numpy()
+                # The first of equal ones, by name, stays.
+                better = (length > 0) & ((score > old) | first)
+                for i in np.flatnonzero(better).tolist():
+                    lang[i] = some[best[i]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(np.where(better, score, old))], names=[*kept, "lang_pred", "score"])
+
+        out = out.mapInArrow(common.task(run), out.select(*kept, "lang_pred", "score").schema)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

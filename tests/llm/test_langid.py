@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -45,3 +46,21 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in langid.identify(docs, langid.fit(docs)).collect()] == [("und", 0.0)]
     assert langid.identify(docs.where("false"), langid.fit(docs.where("false"))).count() == 0
+
+
+def test_many_languages(spark, monkeypatch):
+    # Each of 600 languages has letters of its own and is predicted, in one pass or in several.
+    texts = [(k, " ".join([chr(0x4E00 + 3 * k + j % 3) * 2 for j in range(12)]), f"l{k:03}") for k in range(600)]
+    texts += [(1000 + k, t, lang) for k, t, lang in texts] + [(5000, "", "l001")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs)
+    learned = {lang for k, t, lang in texts if t and zlib.crc32(str(k).encode()) % 4 != 2}
+    assert set(model[0]) == learned and len(learned) > 500
+    want = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, model).collect()}
+    assert all(lang == got for k, t, lang in texts if t and lang in learned for d, got, _ in want if d == k)
+    monkeypatch.setattr(langid, "BLOCK", 250)
+    assert {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, model).collect()} == want
+    # Two languages with one prototype: the first name wins.
+    same = (["a", "b"], np.stack([model[1][0]] * 2))
+    monkeypatch.setattr(langid, "BLOCK", 1)
+    assert {r.lang_pred for r in langid.identify(docs.where("doc_id = 0"), same).collect()} == {"a"}

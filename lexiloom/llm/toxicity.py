@@ -7,7 +7,8 @@ neighbour that clean texts have again and again and toxic ones hardly ever are e
 doesn't count. The sum of a text's weights, per hundred words, goes through a logistic curve fitted on the same rows.
 
 At most SAMPLE labelled rows are learned from, those with the smallest hashes of their ids, none of them with
-crc32(doc_id) mod 4 = 2; the lexicon holds at most TERMS terms. Scoring reads nothing but text, and all of it.
+crc32(doc_id) mod 4 = 2. The lexicon holds every term and exception of theirs that passes the tests of weight and
+frequency, so the sample bounds its size. Scoring reads nothing but text, and all of it.
 
 Null and empty texts get the score of a text without matches; without usable labels every score is 0. Rows with equal
 ids or texts are scored each for itself; a document with several labels counts once for each; empty tables give empty
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import common
 
-#: Labelled rows that are learned from, terms, exceptions, and toxic texts of a large sample that must have a term.
-SAMPLE, TERMS, EXCEPTIONS, LEAST = 12_000, 4000, 4000, 8
+#: Labelled rows that are learned from, and toxic texts of a large sample that must have a term.
+SAMPLE, LEAST = 12_000, 8
 #: Least log-odds of a term; lengths of a word's beginnings; the score from which a text counts as toxic.
 ODDS, BEGIN, CUT = 2.5, range(4, 8), 0.3
 
@@ -125,7 +126,7 @@ def _counted(sample: DataFrame, of) -> DataFrame:
             terms = list(sums[True].keys() | sums[False].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([sums[True][t] for t in terms], pa.int64()), pa.array([sums[False][t] for t in terms], pa.int64())], names=["term", "bad", "good"])
 
-    return sample.mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return sample.mapInArrow(common.task(run), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str], tuple[float, float]]:
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str],
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     # LEAST is for samples of many toxic texts; of few, a hundredth but three at least.
     least = max(3, min(LEAST, -(-bad // 100)))
-    rows = _counted(sample, _terms_of).where(f"bad >= {least}").withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc("odds"), F.desc("bad"), "term").limit(TERMS).collect()
+    rows = _counted(sample, _terms_of).where(f"bad >= {least}").withColumn("odds", odds).where(F.col("odds") >= ODDS).collect()
     every = {r.term: r.odds for r in rows}
     # A term that a shorter beginning matches with as much weight adds nothing.
     terms = {t: w for t, w in every.items() if not any(every.get(t.rstrip(" ")[:k], -1.0) >= w - 0.5 and t != t[:k] for k in BEGIN if k < len(t))}
@@ -178,7 +179,7 @@ def _exceptions(sample: DataFrame, terms: dict[str, float]) -> set[str]:
                 out.add(f"{before.group(1)} {word}")
         return out
 
-    rows = _counted(sample, of).where("good >= 3 and good >= 9 * bad").orderBy(F.desc("good"), "term").limit(EXCEPTIONS)
+    rows = _counted(sample, of).where("good >= 3 and good >= 9 * bad")
     return {r.term for r in rows.collect()}
 
 
@@ -204,7 +205,7 @@ def _weighed(rows: DataFrame, terms: dict[str, float], exceptions: set[str]) ->
             x = [lexicon.weigh(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(x, pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.task(run), schema)
 
 
 def score_of(x: Column, curve: tuple[float, float]) -> Column:
@@ -233,7 +234,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
             z = curve[0] + curve[1] * np.log1p(x)
             yield batch.select(kept).filter(pa.array(np.round(1 / (1 + np.exp(np.clip(-z, -700, 700))), 9) < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.task(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,24 @@ def test_few_labels(spark):
     # Too few for any term: no text is rejected by one.
     one = labels.where("doc_id = 0 or toxic = 0")
     assert toxicity.fit(rows, one)[:2] == ({}, set()) and toxicity.reject(rows, one).count() == 36
+
+
+def test_many_terms(spark):
+    # More terms and exceptions than a fixed table would hold; all that pass the tests are learned.
+    rnd = random.Random(9)
+    # Words of four letters have no shorter beginnings.
+    bad = sorted({"".join(rnd.choice("bcdfgmnprstvzaeou") for _ in range(4)) for _ in range(7000)})[:6000]
+    clean = ["xx" + w for w in rnd.sample(bad, 400)]
+    docs = [(i, " ".join(rnd.choices(clean, k=30) + (bad[(i // 2 % 20) * 300 :][:300] if i % 2 else []))) for i in range(400)]
+    rows, labels = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    terms = toxicity.fit(rows, labels)[0]
+    assert len(terms) > 4000
+
+
+def test_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "zgrump a b"), (1, "zgrump a b"), (2, "zgrump a b"), (3, "a b")], "doc_id long, text string")
+    got = toxicity.score(docs, ({"zgrump ": 4.0}, set(), (-3.0, 2.0))).collect()
+    assert len({r.score for r in got if r.doc_id != 3}) == 1 and len(got) == 4
+    # A score of exactly the cut counts as toxic.
+    at = toxicity.score(docs.where("doc_id = 3"), ({"zgrump ": 4.0}, set(), (float(__import__("math").log(0.3 / 0.7)), 0.0))).first()
+    assert (at.score, at.predicted) == (0.3, 1)

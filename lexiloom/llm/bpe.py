@@ -1,11 +1,18 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-A word's bytes are read left to right. What follows a position can change the token that ends there only
-through a chain of overlapping merges, each of a later rank than the one to its right; the longest such chain in
-the merge list, times the longest token, is a sufficient lookahead (Berglund and van der Merwe, 2023). Tokens that
-end further than that before the end of what was read are stable and are emitted; the rest stays buffered, so
-memory doesn't grow with the word. Texts are read in pieces that end before white space, with which no token and
-no normalisation crosses. Decoding keeps the state of one unfinished UTF-8 sequence.
+A word's bytes are read left to right. The tokens of a word are those of which every two neighbours, merged by
+themselves, stay as they are; so the last token of what was read so far is the one that ends there and agrees with the
+last token of what lies before it, and each position has one token that leads back to an earlier position. What is
+still to come can go on from any of the last positions, as many as the longest token has bytes: that is the look-back
+that a state holds. Tokens that the ways back from all of these have in common are stable and are emitted. They are
+at the latest once as many bytes lie after a token as the merge list's sufficient lookahead has: what follows changes
+a token only through a chain of overlapping merges, each of a later rank than the one to its right, so the longest such
+chain, times the longest token, bounds it (Berglund and van der Merwe, 2023). So memory doesn't grow with the word.
+Every word is read that way, and the last byte, which has symbols of its own, ends it; a worker remembers short words,
+bounded in bytes.
+
+Texts are read in pieces that end before white space, with which no token and no normalisation crosses. Decoding turns
+ids into bytes and bytes into text by a state machine that holds one unfinished UTF-8 sequence.
 
 Nulls and empty texts have no tokens; rows with equal ids or texts are encoded each for itself; an empty table
 gives an empty result; columns other than the named ones aren't read.
@@ -27,8 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import common
 
-#: Characters of a text that are read at once, and remembered words at most.
-PIECE, REMEMBERED = 1 << 20, 1 << 19
+#: Characters of a text that are read at once; bytes of remembered words and of rows that are put out at once.
+PIECE, REMEMBERED, OUT = 1 << 20, 32 << 20, 4 << 20
+#: Remembered pairs of tokens; bytes of a word between looks for stable tokens.
+PAIRS, STEP = 1 << 18, 256
 END, NONE = "</w>", 1 << 60
 
 #: White space of the Unicode property, and the characters that str.split also splits at.
@@ -66,6 +75,17 @@ def lookahead(merges: list[tuple[str, str]], longest: int) -> int:
     return (most + 1) * longest
 
 
+_ONE = (1,)
+
+
+def _sizes(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
+    out: dict[bytes, set[int]] = {}
+    for t in tokens:
+        if len(t) > 1:
+            out.setdefault(t[-2:], {1}).add(len(t))
+    return {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
+
+
 class Transducer:
     """Encoder and decoder of one tokenizers file: lower-casing, NFC, words by pattern, byte-level BPE with word ends."""
 
@@ -81,6 +101,7 @@ class Transducer:
         letters = byte_letters()
         self.inner = [self.vocab.get(c, -1) for c in letters]
         self.final = [self.vocab.get(c + END, -1) for c in letters]
+        self.missing = min(self.inner) < 0
         self.lookahead = lookahead(merges, max(len(t.removesuffix(END)) for t in self.vocab))
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -93,7 +114,29 @@ class Transducer:
         back = {c: b for b, c in enumerate(letters)}
         names = {*self.special.values()}
         self.raw = [t.encode() if i in names else bytes(back[c] for c in t.removesuffix(END)) + (b" " if t.endswith(END) else b"") for i, t in enumerate(self.token)]
+        self.plain_join = made.get("decoder") is None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+        self.agreed: dict[int, bool] = {}
+        # Tokens by their bytes, inside a word and at its end; a token that its own merges don't give never comes up.
+        self.inside: dict[bytes, int] = {}
+        self.ending: dict[bytes, int] = {}
+        self.spelling: dict[int, list[int]] = {}
+        for t, i in self.vocab.items():
+            own = t.removesuffix(END)
+            if i in names or not own or any(c not in back for c in own):
+                continue
+            data = bytes(back[c] for c in own)
+            symbols = [self.inner[b] for b in data]
+            if own != t:
+                symbols[-1] = self.final[data[-1]]
+            if min(symbols) >= 0 and self.merged(symbols[:]) == [i]:
+                self.spelling[i] = symbols
+                (self.inside if own == t else self.ending)[data] = i
+        self.longest = max(map(len, self.spelling.values()), default=1)
+        #: Lengths of the tokens that end with two bytes, long ones first; of one byte there is always one.
+        self.sizes_inside, self.sizes_ending = _sizes(self.inside), _sizes(self.ending)
 
     # --- encoding ---
 
@@ -131,49 +174,101 @@ class Transducer:
                         heapq.heappush(heap, (found[x], x))
         return [x for x in ids if x >= 0]
 
+    def agree(self, left: int, right: int) -> bool:
+        """Whether two tokens, one after the other, stay as they are."""
+        found = self.merged(self.spelling[left] + self.spelling[right]) == [left, right]
+        if len(self.agreed) >= PAIRS:
+            self.agreed.clear()
+        self.agreed[left << 20 | right] = found
+        return found
+
     def word(self, data: bytes) -> list[int]:
-        """Tokens of one word, emitted as soon as they are stable."""
+        """Tokens of one word, emitted as soon as they are stable. Bytes without a symbol are left out."""
+        closing = self.final[data[-1]] >= 0
+        data = data[: len(data) - (not closing)]
+        if self.missing:
+            data = bytes(b for b in data[:-1] if self.inner[b] >= 0) + data[-1:] if closing else bytes(b for b in data if self.inner[b] >= 0)
+        whole = len(data)
         out: list[int] = []
-        step = 4 * self.lookahead
-        lengths = None
-        start = 0
-        while len(data) - start > 2 * step:
-            part = self.merged([x for b in data[start : start + step] if (x := self.inner[b]) >= 0])
-            lengths = lengths or [len(r.rstrip(b" ")) or 1 for r in self.raw]
-            end = start
-            for token in part:
-                if end + lengths[token] > start + step - self.lookahead:
+        agreed = self.agreed.get
+        tokens, sizes = self.inside, self.sizes_inside
+        # By position from base on: the last token of what ends there, and where it begins.
+        base, last, begins = 0, [-1], [0]
+        for end in range(1, whole + 1):
+            if end == whole and closing:
+                tokens, sizes = self.ending, self.sizes_ending
+            for n in sizes.get(data[end - 2 : end] if end > 1 else b"", _ONE):
+                begin = end - n
+                if begin < base or (token := tokens.get(data[begin:end])) is None:
+                    continue
+                if not begin:
                     break
-                out.append(token)
-                end += lengths[token]
-            start = end
-        tail = [self.inner[b] for b in data[start:-1]] + [self.final[data[-1]]]
-        return out + self.merged([x for x in tail if x >= 0])
+                before = last[begin - base]
+                found = agreed(before << 20 | token)
+                if found or found is None and self.agree(before, token):
+                    break
+            else:
+                raise ValueError("the file's merges don't give one way back")
+            last.append(token)
+            begins.append(begin)
+            if end - base >= STEP + self.longest and not end % STEP:
+                stable = self.common_start(begins, base, end)
+                out += self.way_back(last, begins, base, stable)
+                last, begins, base = last[stable - base :], begins[stable - base :], stable
+        return out + self.way_back(last, begins, base, whole)
+
+    def common_start(self, begins: list[int], base: int, end: int) -> int:
+        """The last position that the ways back from all of the last positions have in common."""
+        ways = set(range(max(base, end - self.longest + 1), end + 1))
+        while len(ways) > 1:
+            far = max(ways)
+            ways.remove(far)
+            ways.add(max(base, begins[far - base]))
+        return ways.pop()
+
+    @staticmethod
+    def way_back(last: list, begins: list[int], base: int, end: int) -> list[int]:
+        """Tokens from base to end."""
+        out = []
+        while end > base:
+            out.append(last[end - base])
+            end = begins[end - base]
+        return out[::-1]
 
     def chunk(self, text: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a normalised text without white space."""
-        known = self.known
+        if (out := self.older.get(text)) is not None:
+            self.remember(text, out)
+            return out
         if not text.isascii() and any(map(_no_letter, text)):
             words = self.odd_words(text)
         else:
             words = self.words.findall(text)
-        parts = []
+        parts, new = [], False
         for w in words:
-            ids = known.get(w) if len(w) < len(text) else None
-            if ids is None:
+            ids = self.known.get(w) if len(w) < len(text) else None
+            if ids is None and (ids := self.older.get(w)) is None:
                 ids = struct.pack(f"<{len(x := self.word(w.encode()))}I", *x)
-                if len(w) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[w] = ids
+                self.remember(w, ids)
+                new = True
             parts.append(ids)
         if len(parts) == 1 and len(words[0]) == len(text):
             return parts[0]
         out = b"".join(parts)
-        if len(text) <= 64:
-            known[text] = out
+        # Of several words together, only those are kept that are all known; most others don't come again.
+        if not new:
+            self.remember(text, out)
         return out
 
+    def remember(self, word: str, ids: bytes) -> None:
+        """Keeps a short word; when too many bytes are kept, those that were not used since the last time go."""
+        if len(word) <= 64:
+            if self.size >= REMEMBERED // 2:
+                self.older, self.known, self.size = self.known, {}, 0
+            self.known[word] = ids
+            # About what a string, its bytes and their entry take.
+            self.size += 200 + len(word) + len(ids)
+
     def odd_words(self, text: str) -> list[str]:
         """Words of a text with unassigned characters, which are no letters; the pattern's library takes some for letters."""
         letters = "".join("\0" if _no_letter(c) else c for c in text)
@@ -184,13 +279,17 @@ class Transducer:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        known, chunk = self.known, self.chunk
+        chunk = self.chunk
         if _ODD.search(text):
             parts = [x for x in _BLANKS.split(text) if x]
         else:
             parts = text.split()
-        get = known.get
-        return b"".join([x if (x := get(w)) is not None else chunk(w) for w in parts])
+        out = []
+        # chunk() may put a new table in the place of known.
+        for w in parts:
+            x = self.known.get(w)
+            out.append(chunk(w) if x is None else x)
+        return b"".join(out)
 
     def encode(self, text: str):
         """Ids of text, as bytes, piece by piece."""
@@ -218,25 +317,27 @@ class Transducer:
 
 
 class Decoder:
-    """Incremental decoder: feed() takes ids in any portions, as bytes, and returns text in UTF-8.
+    """Incremental decoder: feed() takes ids in any portions, as bytes, and returns text.
 
-    plain=True joins the vocabulary's strings by a space, as a tokenizer without decoder does. Otherwise tokens give
-    their bytes, word ends a space, and the state holds an unfinished UTF-8 sequence.
+    Each token gives bytes: of a file without a decoder its vocabulary string, after a blank if it isn't the first one;
+    of others its own bytes, with a blank for a word's end. The bytes go through a state machine of UTF-8, which holds
+    an unfinished sequence back until it is complete; wrong ones give U+FFFD.
     """
 
-    def __init__(self, made: Transducer, plain: bool = True):
-        self.made, self.plain, self.begun = made, plain, False
+    def __init__(self, made: Transducer, plain: bool | None = None):
+        self.made, self.plain, self.begun = made, made.plain_join if plain is None else plain, False
         self.state = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
-    def feed(self, ids: bytes, last: bool = False) -> bytes:
+    def feed(self, ids: bytes, last: bool = False) -> str:
         numbers = array("I", ids)
-        if not self.plain:
-            return self.state.decode(b"".join(map(self.made.raw.__getitem__, numbers)), last).encode()
-        out = b" ".join(map(self.made.text.__getitem__, numbers))
-        if self.begun and numbers:
-            out = b" " + out
-        self.begun |= bool(numbers)
-        return out
+        if self.plain:
+            out = b" ".join(map(self.made.text.__getitem__, numbers))
+            if self.begun and numbers:
+                out = b" " + out
+            self.begun |= bool(numbers)
+        else:
+            out = b"".join(map(self.made.raw.__getitem__, numbers))
+        return self.state.decode(out, last)
 
 
 _LOADED: dict[int, Transducer] = {}
@@ -274,23 +375,28 @@ def encode(docs: DataFrame, file: str | None = None, digests: bool = False) -> D
     def run(batches):
         made = load(content)
         for batch in batches:
-            counts, first, second = [], [], []
-            for text in batch.column(1):
+            begin, size, counts, first, second = 0, 0, [], [], []
+            for at, text in enumerate(batch.column(1)):
                 decoder, n = made.decoder(), 0
                 a, b = (hashlib.sha256(), hashlib.sha256()) if digests else ([], [])
-                add_a, add_b = (a.update, b.update) if digests else (a.append, b.append)
+                add_a, add_b = (a.update, lambda t, b=b: b.update(t.encode())) if digests else (a.append, b.append)
                 for ids in made.encode(text.as_py() or ""):
                     n += len(ids) // 4
                     add_a(ids)
                     add_b(decoder.feed(ids))
+                add_b(decoder.feed(b"", last=True))
                 counts.append(n)
                 first.append(a.hexdigest() if digests else b"".join(a))
-                second.append(b.hexdigest() if digests else b"".join(b).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())], names=names)
+                second.append(b.hexdigest() if digests else "".join(b))
+                size += len(first[-1]) + len(second[-1])
+                # Rows of long texts leave before the others of their batch are done.
+                if size >= OUT or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[begin : at + 1], pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())], names=names)
+                    begin, size, counts, first, second = at + 1, 0, [], [], []
 
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     kinds = ["long", "long", "string" if digests else "binary", "string"]
-    return common.own(docs, "doc_id", "text").mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
+    return common.own(docs, "doc_id", "text").mapInArrow(common.task(run), ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
 
 
 def op9_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:

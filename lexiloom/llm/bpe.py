@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiloom.llm import common
 
 #: Characters of a text that are read at once; bytes of remembered words and of rows that are put out at once.
-PIECE, REMEMBERED, OUT = 1 << 20, 32 << 20, 4 << 20
+PIECE, REMEMBERED, OUT = 1 << 20, 64 << 20, 4 << 20
 #: Remembered pairs of tokens; bytes of a word between looks for stable tokens.
 PAIRS, STEP = 1 << 18, 256
 END, NONE = "</w>", 1 << 60

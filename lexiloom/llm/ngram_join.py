@@ -13,9 +13,15 @@ ranges, and each pair is verified once on whole sets. Only components are wanted
    of whole sets bound the overlap, and ROUNDS times each class proposes the few that look nearest across components;
 3. every pair that still crosses components and passes all filters is verified.
 
-No pair of different components is left out, so the components are those of all links. Shingles whose counts are hot
-are salted in step 1 and cut in blocks afterwards; nothing of corpus size is collected. Sets for verification are made
-anew from the texts of the classes that occur; a bitmap of fixed size keeps the others from the shuffle.
+No pair of different components is left out, so the components are those of all links. Shingles that are hot, by
+what their cell has beyond twice the median of all cells, are salted in step 1. Afterwards the blocks of a hot shingle
+are cut by component, and blocks of one component never meet, so its rows are copied only where components meet.
+Nothing of corpus size is collected. Sets for verification are made anew from the texts of the classes that occur; a
+bitmap of fixed size keeps the others from the shuffle.
+
+The count table has a fixed size, as a table of all shingles would have to be shuffled twice more. Where a corpus fills
+all cells alike the order is that of hashes within the noise: more prefix shingles are shared then (about three times
+as many, measured), never others left out.
 
 Null doc_ids link with nothing (component_id null); null and wordless texts have no shingles and link with nothing;
 rows with one doc_id are each judged by their own text; empty tables give empty results; columns other than doc_id
@@ -38,7 +44,7 @@ from lexiloom.llm.common import NOT_SPACE, Words
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: Cells of the count table as a power of two, and of one of its rows; it is broadcast with 4 bytes a cell.
-CELL_BITS, BLOCK_BITS = 20, 15
+CELL_BITS, BLOCK_BITS = 22, 15
 #: Rows of one shingle that one group takes in step 1; hash ranges of the suffix filter; stars that a class joins.
 GROUP, RANGES, STARS = 2000, 16, 2
 #: Bits, as a power of two, of the map of documents whose sets are wanted.
@@ -80,7 +86,7 @@ def classes(docs: DataFrame) -> DataFrame:
         for ids, sets in _sets(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "c"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, c long")
+    return docs.mapInArrow(common.task(run), "doc_id long, n_shingles long, c long")
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
@@ -88,32 +94,35 @@ def _counts(docs: DataFrame) -> np.ndarray:
     width = 1 << BLOCK_BITS
 
     def partial(batches):
-        table = np.zeros(1 << CELL_BITS, np.int64)
+        table = np.zeros(1 << CELL_BITS, np.uint32)
         for _, sets in _sets(batches):
-            some = [s for s in sets if len(s)]
-            if some:
-                table += np.bincount((np.concatenate(some) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(table))
+            for s in sets:
+                # Some shingles of a text may fall in one cell.
+                np.add.at(table, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
         blocks = np.flatnonzero(table.reshape(-1, width).any(1))
-        if len(blocks):
-            rows = table.reshape(-1, width)[blocks].astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([TaskContext.get().partitionId() % 16] * len(blocks), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "part", "cells"])
+        for b in blocks.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([table[b * width : (b + 1) * width].astype("<u4").tobytes()], pa.binary())], names=["block", "part", "cells"])
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, cells in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 row = np.frombuffer(cells.as_buffer(), "<u4")
-                sums[b] = sums[b] + row if b in sums else row
+                if b in sums:
+                    # Cells stay at their largest number rather than begin anew.
+                    sums[b] = np.minimum(sums[b].astype(np.uint64) + row, (1 << 32) - 1).astype("<u4")
+                else:
+                    sums[b] = row.copy()
         for b, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["block", "part", "cells"])
 
     schema = "block int, part int, cells binary"
-    parts = docs.mapInArrow(partial, schema).repartition(64, "block", "part").mapInArrow(total, schema)
-    table = np.zeros((1 << (CELL_BITS - BLOCK_BITS), width), np.uint64)
-    # At most 16 parts of each block are left, whatever the number of tasks.
-    for row in parts.collect():
-        table[row.block] += np.frombuffer(row.cells, "<u4")
-    return np.minimum(table.ravel(), (1 << 32) - 1).astype(np.uint32)
+    parts = docs.mapInArrow(common.task(partial), schema).repartition(64, "block", "part").mapInArrow(common.task(total), schema)
+    table = np.zeros((1 << (CELL_BITS - BLOCK_BITS), width), np.uint32)
+    # One row of each block comes to the driver, whatever the number of tasks.
+    for row in parts.repartition(16, "block").mapInArrow(common.task(total), schema).collect():
+        table[row.block] = np.frombuffer(row.cells, "<u4")
+    return table.ravel()
 
 
 def _need(n: int) -> int:
@@ -127,6 +136,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     place holds n, the shingle's position and, if the shingle is hot, a salt from 1 on, which key's upper bits hold, too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    # What every cell has, rare shingles alone, is no sign of a hot one.
+    usual = 2 * int(np.median(counts))
 
     def run(batches):
         table, seen = shared.value, set()
@@ -148,12 +159,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 continue
             h, often, sizes = np.concatenate(out), np.concatenate(cells).astype(np.int64), np.array(sizes)
             c = np.repeat(np.array(names, np.int64), sizes)
-            salts = np.minimum(often // GROUP + 1, 500)
+            salts = np.minimum(np.maximum(often - usual, 0) // GROUP + 1, 500)
             salt = np.where(salts > 1, (c.view(np.uint64) >> np.uint64(1)).astype(np.int64) % salts + 1, 0)
             place = np.repeat(np.array(totals, np.int64), sizes) << 36 | np.concatenate(places) << 9 | salt
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64) ^ salt << 50), pa.array(c), pa.array(place)], names=["key", "c", "place"])
 
-    return docs.mapInArrow(run, "key long, c long, place long")
+    return docs.mapInArrow(common.task(run), "key long, c long, place long")
 
 
 def _salt(place):
@@ -187,18 +198,18 @@ def _remade(docs: DataFrame, used: DataFrame, schema: str, make) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
+        bits = shared.value
         for batch in batches:
             at = np.asarray(batch.column(0)).astype(np.uint64)
             at = ((at ^ (at >> np.uint64(MAP_BITS))) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
-            batch = batch.filter(pa.array(bits[at]))
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for _, sets in _sets([batch]) if batch.num_rows else ():
                 made = [(_digest(s), *make(s)) for s in sets if len(s)]
                 cells = list(zip(*made, strict=True)) or [[] for _ in range(len(names) + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), *(pa.array(c, k) for c, k in zip(cells[1:], kinds, strict=True))], names=["c", *names])
 
     kinds = [{"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(", ")]
-    return docs.where("doc_id is not null").mapInArrow(run, f"c long, {schema}")
+    return docs.where("doc_id is not null").mapInArrow(common.task(run), f"c long, {schema}")
 
 
 def _parity(s: np.ndarray):
@@ -220,16 +231,32 @@ def _near_enough(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n) & ((100 + PERCENT) * np.minimum(n - i, m - j) >= PERCENT * (n + m))
 
 
-def _groups(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """(i, j, all): rows of each key in pairs of blocks of about BLOCK; all has the rows of both. size names the column with a key's number of rows."""
-    columns = [c for c in rows.columns if c not in (key, size)]
-    small = rows.where(F.col(size) <= BLOCK).groupBy(key).agg(F.collect_list(F.struct(*columns, F.lit(0).alias("block"))).alias("all")).select(F.lit(0).alias("i"), F.lit(0).alias("j"), "all")
-    if not rows.where(F.col(size) > BLOCK).head(1):
+def _groups(rows: DataFrame) -> DataFrame:
+    """(i, j, all): rows (h, c, place, part, size) of each shingle h in pairs of blocks of about BLOCK; all has the rows of both. size is a shingle's number of rows.
+
+    Of a shingle with more rows, each part with over BLOCK has blocks of its own, which meet all but each other; the rest share blocks.
+    """
+    columns = ["c", "place", "part"]
+    small = rows.where(F.col("size") <= BLOCK).groupBy("h").agg(F.collect_list(F.struct(*columns, F.lit(0).alias("block"))).alias("all")).select(F.lit(0).alias("i"), F.lit(0).alias("j"), "all")
+    if not rows.where(F.col("size") > BLOCK).head(1):
         return small
-    mine = rows.where(F.col(size) > BLOCK).withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    large = dealt.repartition(key, "i", "j").groupBy(key, "i", "j").agg(F.collect_list(F.struct(*columns, "block")).alias("all")).select("i", "j", "all")
-    return small.union(large)
+    mine = rows.where(F.col("size") > BLOCK).withColumn("hp", F.struct("h", "part"))
+    n, blocks = F.col("n"), F.ceil(F.col("n") / BLOCK)
+    parts = common.cut(mine.groupBy("hp").agg(F.count("*").alias("n")).withColumn("h", F.col("hp.h")))
+    rest = F.ceil(F.sum(F.when(n <= BLOCK, n).otherwise(0)) / BLOCK)
+    totals = parts.groupBy("h").agg(rest.cast("int").alias("mixed"), (rest + F.sum(F.when(n > BLOCK, blocks).otherwise(0))).cast("int").alias("total"), F.count("*").alias("k"))
+    before = F.sum("blocks").over(Window.partitionBy("h").orderBy("hp").rowsBetween(Window.unboundedPreceding, -1))
+    large = parts.where(n > BLOCK).withColumn("blocks", blocks.cast("int")).withColumn("before", F.coalesce(before, F.lit(0)).cast("int")).select("hp", "blocks", "before")
+    plan = common.spread(parts.join(large, "hp", "left"), common.cut(totals), "h", "k").select("hp", "n", "mixed", "total", "blocks", (F.col("mixed") + F.col("before")).alias("first"))
+    dealt = common.spread(mine, common.cut(plan), "hp", "n")
+    alone, number = F.col("first").isNotNull(), F.xxhash64("c")
+    dealt = dealt.withColumn("block", F.when(alone, F.col("first") + F.pmod(number, "blocks")).otherwise(F.pmod(number, "mixed")).cast("int"))
+    past = F.col("first") + F.col("blocks")
+    none = F.array().cast("array<int>")
+    others = F.when(alone, F.concat(F.when(F.col("first") > 0, F.sequence(F.lit(0), F.col("first") - 1)).otherwise(none), F.when(past < F.col("total"), F.sequence(past, F.col("total") - 1)).otherwise(none)))
+    dealt = dealt.withColumn("other", F.explode(others.otherwise(F.sequence(F.lit(0), F.col("total") - 1)))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    pairs = dealt.repartition("h", "i", "j").groupBy("h", "i", "j").agg(F.collect_list(F.struct(*columns, "block")).alias("all")).select("i", "j", "all")
+    return small.union(pairs)
 
 
 def _blocks(batch):
@@ -272,7 +299,7 @@ def _crossing(left: DataFrame) -> DataFrame:
                 u, v = np.concatenate(us), pa.array(vs, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), v, pa.array(np.concatenate(gs), pa.int64()), pa.array(np.concatenate(parts), pa.int64())], names=["u", "v", "g", "part"])
 
-    return _groups(left, "h", "size").mapInArrow(run, "u long, v long, g long, part long")
+    return _groups(left).mapInArrow(common.task(run), "u long, v long, g long, part long")
 
 
 def _dense(rows: DataFrame, bitmaps: DataFrame, stars: int = 0) -> DataFrame:
@@ -314,7 +341,7 @@ def _dense(rows: DataFrame, bitmaps: DataFrame, stars: int = 0) -> DataFrame:
 
     # A dense block holds the rows of two blocks at most.
     groups = rows.join(bitmaps, "c").groupBy("g").agg(F.collect_list(F.struct("c", "part", "n", "bits", F.lit(0).alias("block"))).alias("all"))
-    return groups.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "all").mapInArrow(run, "u long, v long")
+    return groups.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "all").mapInArrow(common.task(run), "u long, v long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -359,14 +386,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, bounded: bool
                 keep.append(100 * (both - apart) >= PERCENT * (both + apart))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs if bounded else joined(pairs, "n", "bits").mapInArrow(allowed, "u long, v long")
+    near = pairs if bounded else joined(pairs, "n", "bits").mapInArrow(common.task(allowed), "u long, v long")
 
     def run(batches):
         for batch in batches:
             keep = [_similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column("hashes_u"), batch.column("hashes_v"), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    out = common.cut(joined(near, "hashes").mapInArrow(run, "u long, v long"))
+    out = common.cut(joined(near, "hashes").mapInArrow(common.task(run), "u long, v long"))
     common.release(used, sets)
     return out
 
@@ -376,7 +403,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession)
     docs = common.own(docs, "doc_id", "text")
     rows = common.cut(classes(docs))
-    reps = common.cut(rows.where("doc_id is not null and c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")))
+    reps = common.cut(rows.where("doc_id is not null and c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     every = prefixes(docs.where("doc_id is not null"), _counts(docs))
 
     # Step 1: shared prefix shingles, and stars from centres drawn by shingle.
@@ -401,9 +428,9 @@ def join_components(docs: DataFrame) -> DataFrame:
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(parts, F.col("c") == F.col("node"), "left").withColumn("part", F.coalesce("component", "c")).drop("node", "component")
 
-    whole = Window.partitionBy("h")
-    own = placed(near.select("h", "c", "place")).withColumns({"p": F.min("part").over(whole), "q": F.max("part").over(whole), "size": F.count("*").over(whole)})
-    left = common.cut(own.where("p <> q").drop("p", "q"))
+    own = placed(near.select("h", "c", "place"))
+    crossed = common.cut(own.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q").select("h", "size", F.col("size").alias("k")))
+    left = common.cut(common.spread(own, crossed, "h", "k"))
     found = common.cut(_crossing(left))
     dense = common.cut(found.where("v is null").select("g", F.col("u").alias("c")).distinct())
     tried, bitmaps = pairs, None
@@ -424,11 +451,11 @@ def join_components(docs: DataFrame) -> DataFrame:
     links = links.union(_verified(more, docs, reps))
     parts = common.components(links)
 
-    whole = reps.join(parts, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("part"))
-    named = whole.groupBy("part").agg(F.min("rep").alias("component_id")).join(whole.select("c", "part"), "part").select("c", "component_id")
-    named = common.cut(named)
-    common.release(near, left, found, dense, more, pairs, reps)
-    return rows.join(named, "c", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    whole = reps.join(parts, F.col("c") == F.col("node"), "left").select("c", "rep", "copies", F.coalesce("component", "c").alias("part"))
+    parts = common.cut(whole.groupBy("part").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")))
+    named = common.cut(common.spread(whole, parts, "part", "k").select("c", "component_id", "copies"))
+    common.release(near, left, found, dense, more, pairs, reps, crossed, parts)
+    return common.spread(rows, named, "c", "copies", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

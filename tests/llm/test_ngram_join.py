@@ -59,3 +59,50 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_full_count_table(spark, monkeypatch):
+    # With far more shingles than cells, only hot shingles are salted, and the components stay the same.
+    monkeypatch.setattr(ngram_join, "CELL_BITS", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_BITS", 4)
+    monkeypatch.setattr(ngram_join, "GROUP", 100)
+    rnd = random.Random(4)
+    some = lambda k: [f"w{rnd.randrange(10_000)}" for _ in range(k)]
+    hot = some(20)
+    docs = [(k, " ".join(hot + some(3) if k % 2 else some(80))) for k in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    counts = ngram_join._counts(df)
+    assert counts.sum() == sum(len(sets(t)) for _, t in docs) and counts.min() > ngram_join.GROUP
+    rows = ngram_join.prefixes(df, counts)
+    of_plain = df.where("doc_id % 2 = 0").select("doc_id").collect()
+    salted = ngram_join.prefixes(df.where("doc_id % 2 = 0"), counts).where("place & 511 > 0").count()
+    assert salted < 0.25 * rows.count() and len(of_plain) == 300
+    got = ngram_join.join_components(df).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs)
+
+
+def test_blocks_meet_across_parts_only(spark, monkeypatch):
+    # Of a shingle with one large part, rows are copied for the few others only, and every pair across parts meets once.
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    parts = [0] * 95 + [1] * 25 + list(range(2, 14))
+    rows = spark.createDataFrame([(7, k, 0, p, len(parts)) for k, p in enumerate(parts)] + [(8, 500 + k, 0, k, 3) for k in range(3)], "h long, c long, place long, part long, size long")
+    met, copies = {}, 0
+    for g in ngram_join._groups(rows).collect():
+        copies += len(g["all"])
+        left, right = ([r for r in g["all"] if r.block == b] for b in (g.i, g.j))
+        for a in left:
+            for b in right:
+                if a.part != b.part and (g.i != g.j or a.c < b.c):
+                    key = tuple(sorted((a.c, b.c)))
+                    met[key] = met.get(key, 0) + 1
+    every = [(k, p) for k, p in enumerate(parts)]
+    want = {(a, b) for a, p in every for b, q in every if a < b and p != q} | {(500, 501), (500, 502), (501, 502)}
+    assert met.keys() == want and set(met.values()) == {1}
+    assert copies < 0.75 * len(parts) * 16
+
+
+def test_hot_classes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.common, "HOT_ROWS", 4)
+    docs = corpus(3) + [(9000 + k, corpus(3)[1][1]) for k in range(60)]
+    got = ngram_join.join_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs)

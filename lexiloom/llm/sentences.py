@@ -6,12 +6,12 @@ wherever they begin and end. From each sentence starts one span: the shortest ru
 least WORDS words. Spans' hashes meet in a global join; the first span of each hash, by doc_id and place, stays, and
 every sentence that another one covers is removed.
 
-Any WORDS + 3 * PIECE - 2 = 47 words that two texts share, with their stops, hold a span of both: their first PIECE
+Any WORDS + 3 * PIECE - 2 = 51 words that two texts share, with their stops, hold a span of both: their first PIECE
 words have a cut of both, WORDS words after it the next PIECE words have one, and only their last PIECE - 1 words may be
-cut in one text alone.
+cut in one text alone. Repeated passages of fewer than WORDS words are never touched.
 
 The least place of each hash is aggregated before the shuffle, and only hashes that occur twice are written and joined
-back with spans made again; both sides of that join are dealt anew, so Spark can split its hot keys.
+back with spans made again; the rows of hot hashes are dealt to several tasks.
 
 Null and empty texts have no sentences and are returned as they are. Rows with one doc_id count as one document: the
 first span of such copies is the same place, so they stay alike. Rows with a null doc_id are returned unchanged and
@@ -29,7 +29,7 @@ from lexiloom.llm import common
 from lexiloom.llm.common import ALNUM, Words
 
 #: Sentences and words of a span at least; most words of a sentence.
-RUN, WORDS, PIECE = 1, 16, 11
+RUN, WORDS, PIECE = 1, 29, 8
 
 _STOP = np.zeros(256, np.int32)
 _STOP[[ord(c) for c in ".!?;:\n\r"]] = 1
@@ -98,15 +98,14 @@ def spans(docs: DataFrame) -> DataFrame:
             ids = batch.column(0)[i:j].take(pa.array(text))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(a - made.text[text], pa.int32()), pa.array(b - a, pa.int32())], names=["h", "doc_id", "at", "n"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, at int, n int")
+    return docs.mapInArrow(common.task(run), "h long, doc_id long, at int, n int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, at, n, h): the spans that are not the first of their hash."""
     every = spans(docs.where("doc_id is not null"))
-    first = every.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
-    first = common.cut(first)
-    return every.join(first, "h").where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "n", "h")
+    first = every.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    return common.spread(every, common.cut(first), "h", "k").where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "n", "h")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -154,7 +153,7 @@ def remove(docs: DataFrame) -> DataFrame:
                     texts.append(b"".join([*out, raw[at : part[k - i + 1]].tobytes()]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed", "text"])
 
-    return joined.mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed string, text string")
+    return joined.mapInArrow(common.task(run), "doc_id long, n_sentences long, n_removed long, removed string, text string")
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
 
-from lexiloom.llm import sentences
+import numpy as np
+
+from lexiloom.llm import common, sentences
 
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
@@ -10,11 +12,15 @@ def cut(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = list(WORD.finditer(low))
     starts = [k for k, m in enumerate(words) if not k or any(c in ".!?;:\n\r" for c in low[words[k - 1].end() : m.start()])]
+    # In a sentence, the words with the least hash of some PIECE words in a row begin pieces.
+    data = np.frombuffer(low.encode(), np.uint8)
+    h, size = common.Words(data, np.array([0, len(data)]), common.ALNUM).hash.tolist(), sentences.PIECE
+    rows = [range(k, k + size) for a, b in zip(starts, [*starts[1:], len(words)]) for k in range(a, b - size + 1)]
+    starts = sorted({*starts, *(k for row in rows for k in row if h[k] == min(h[x] for x in row))})
     return [[m.group() for m in words[a:b]] for a, b in zip(starts, [*starts[1:], len(words)])], [words[a].start() for a in starts]
 
 
 def brute(docs):
-    """Of texts whose sentences are short."""
     seen, rows = {}, []
     for i, text in docs:
         s, _ = cut(text)
@@ -81,3 +87,31 @@ def test_passages_of_few_sentences(spark):
     # The first of them stay, and so does all that stands around the others.
     assert all(got[2 * k].text == docs[2 * k][1] for k in range(40))
     assert all(gone[k] <= set(WORD.findall(passages[k])) for k in range(40))
+
+
+def test_short_repeats_stay(spark):
+    # A line that many texts share is left alone when it has fewer words than a span.
+    rnd = random.Random(3)
+    some = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(5)) for _ in range(n)) + ". "
+    line = some(sentences.WORDS - 1)
+    docs = [(k, some(20) + some(9) + line + some(30)) for k in range(30)]
+    got = sentences.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(k, t, 0) for k, t in docs]
+
+
+def test_hot_spans(spark, monkeypatch):
+    # The rows of a hot hash are dealt to several tasks, with the same result.
+    monkeypatch.setattr(sentences.common, "HOT_ROWS", 5)
+    docs = corpus() + [(1000 + k, corpus()[1][1]) for k in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string").repartition(3)
+    got = sentences.remove(df).collect()
+    assert sorted(str((r.doc_id, r.n_sentences, r.n_removed, r.text)) for r in got) == brute(docs)
+
+
+def test_one_very_long_text(spark):
+    rnd = random.Random(21)
+    some = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(4)) for _ in range(n))
+    text = some(200_000)
+    docs = [(1, text), (2, some(40) + ". " + text[:500_000].rsplit(" ", 1)[0])]
+    got = {r.doc_id: r for r in sentences.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].text == text and len(got[2].text) < 800

@@ -13,10 +13,11 @@ with each other, all members with all, in blocks; those of which a link exists a
 then counted by comparing its members in blocks of BLOCK, so lists longer than LARGEST lose none and no pairs are
 emitted. Reverse lists of hubs are dealt out in parts.
 
-Vectors that are null, zero, hold null or non-finite components, or have another length than most, link with
-nothing, and so do rows with a null vec_id (component_id null, not kept). Rows with equal vectors link with each
-other; rows with one vec_id count as other vectors of it. Empty tables give empty results; columns other than vec_id
-and embedding are not read.
+Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do rows with a null vec_id
+(component_id null, not kept). Vectors of different lengths don't link; those of each length have a graph of their own,
+one after the other. Rows with equal vectors link with each other, also if they repeat a vec_id. A row is judged by its
+own vector: rows that repeat a vec_id with other vectors may lie in several components, each named by its smallest
+vec_id. Empty tables give empty results; columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ THRESHOLD, LIST, LARGEST, ROUNDS = 0.95, 10, 48, 10
 #: Orders by hyperplanes, signs of each, and followers that a vector meets in them; what a member may propose in one meeting.
 ORDERS, SIGNS, NEXT, PROPOSE = 6, 20, 5, 4
 #: Members of a hub's reverse list in one part; vectors of a block; vectors of the audit, the part of their links to reach, and the least part.
-PART, BLOCK, AUDIT, TARGET, FLOOR = 128, 1024, 256, 0.995, 0.9
+PART, BLOCK, AUDIT, TARGET, FLOOR = 128, 4096, 256, 0.995, 0.9
+#: Rows of a block that are compared with all others of one at once.
+ROWS = 512
 #: How far 8-bit cosines may be off.
 SLACK = 0.02
 
@@ -43,23 +46,33 @@ def _matrix(cells, kind=np.float64) -> np.ndarray:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(id, w, v, q): smallest vec_id and number of the rows of each usable vector, scaled to length one, in doubles and in 8 bits."""
+    """(id, low, w, embedding, v, q): a number, the smallest vec_id and the number of rows of each usable vector, itself, and scaled to length one, in doubles and in 8 bits.
+
+    The numbers are only the same once the result is written.
+    """
     full = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
-    sizes = full.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").limit(1).collect()
-    full = full.where(F.size("embedding") == (sizes[0].n if sizes else 0))
+    kind = rows.schema["embedding"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            v = np.array(batch.column("embedding").flatten().to_pylist(), np.float64).reshape(n, -1) if n else np.zeros((0, 1))
-            # Scaling by the largest component first keeps tiny and huge vectors exact.
-            v = v / np.abs(v).max(1, initial=0, keepdims=True)
-            v /= np.sqrt((v * v).sum(1, keepdims=True))
-            q = np.rint(v / np.abs(v).max(1, keepdims=True) * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in q], pa.binary())], names=["id", "w", "v", "q"])
-
-    same = full.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"))
-    return same.mapInArrow(common.task(run), "id long, w long, v binary, q binary")
+            lists = batch.column("embedding")
+            sizes = np.diff(np.asarray(lists.offsets))
+            cells = np.asarray(lists.flatten()).astype(np.float64)
+            first = np.concatenate(([0], np.cumsum(sizes)))
+            vs, qs = [b""] * len(sizes), [b""] * len(sizes)
+            for n in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == n)
+                v = cells[first[own][:, None] + np.arange(n)]
+                # Scaling by the largest component first keeps tiny and huge vectors exact.
+                v = v / np.abs(v).max(1, initial=0, keepdims=True)
+                v /= np.sqrt((v * v).sum(1, keepdims=True))
+                q = np.rint(v / np.abs(v).max(1, keepdims=True) * 127).astype(np.int8)
+                for k, x, y in zip(own.tolist(), v, q, strict=True):
+                    vs[k], qs[k] = x.tobytes(), y.tobytes()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "low", "w", "embedding")), pa.array(vs, pa.binary()), pa.array(qs, pa.binary())], names=["id", "low", "w", "embedding", "v", "q"])
+
+    same = full.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id())
+    return same.mapInArrow(common.task(run), f"id long, low long, w long, embedding {kind}, v binary, q binary")
 
 
 def _unit(cells) -> np.ndarray:
@@ -300,8 +313,8 @@ def graph(made: DataFrame) -> tuple[DataFrame, DataFrame, float]:
 def counted(made: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, component, links): for each class in a component, the rows of other classes that it links with."""
     placed = made.join(parts, F.col("id") == F.col("node")).select("id", "w", "v", "component")
-    sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = common.cut(placed.groupBy("component").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")))
+    mine = common.spread(placed, sizes, "component", "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "w", "v", "block")).alias("all"))
 
@@ -314,17 +327,24 @@ def counted(made: DataFrame, parts: DataFrame) -> DataFrame:
                 continue
             off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             name, weight, block = flat.field("id").to_numpy(), flat.field("w").to_numpy().astype(np.float64), flat.field("block").to_numpy()
-            cells = flat.field("v").to_pylist()
-            for c, i, j, a, b in zip(batch.column("component").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), off, off[1:], strict=False):
-                v = _matrix(cells[a:b])
-                at = np.arange(a, b)
+            cells = flat.field("v")
+            for c, i, j, a, b in zip(batch.column("component").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), off.tolist(), off[1:].tolist(), strict=False):
+                v = _matrix(cells[a:b].to_pylist())
                 left, right = np.flatnonzero(block[a:b] == i), np.flatnonzero(block[a:b] == j)
-                near = v[left] @ v[right].T >= THRESHOLD
-                near &= name[at[left]][:, None] != name[at[right]][None, :]
-                for who, total in ((left, near @ weight[at[right]]), *(((right, weight[at[left]] @ near),) if i != j else ())):
-                    ids.append(name[at[who]])
-                    sums.append(total)
-                    comps.append(np.full(len(who), c))
+                other, backward = v[right], np.zeros(len(right))
+                for at in range(0, len(left), ROWS):
+                    some = left[at : at + ROWS]
+                    near = v[some] @ other.T >= THRESHOLD
+                    near &= name[a + some][:, None] != name[a + right][None, :]
+                    ids.append(name[a + some])
+                    sums.append(near @ weight[a + right])
+                    comps.append(np.full(len(some), c))
+                    if i != j:
+                        backward += weight[a + some] @ near
+                if i != j:
+                    ids.append(name[a + right])
+                    sums.append(backward)
+                    comps.append(np.full(len(right), c))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(comps), pa.int64()), pa.array(np.concatenate(sums).astype(np.int64))], names=["id", "component", "links"])
 
     return groups.mapInArrow(common.task(run), "id long, component long, links long").groupBy("id", "component").agg(F.sum("links").alias("links"))
@@ -335,14 +355,27 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     common.prepare(rows.sparkSession)
     rows = common.own(rows, "vec_id", "embedding")
     made = common.cut(classes(rows))
-    parts, _, _ = graph(made)
-    links = counted(made, parts)
-    by = made.select("id", "w").join(links, "id", "left").select("id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
-    # Rows find their class by the vector itself.
-    of = rows.where("vec_id is not null and embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id")).join(by, "id").select("embedding", "links", "component")
-    found = rows.join(of, "embedding", "left")
+    links = None
+    # A graph for each length of vectors; a table has few, most often one.
+    lengths = [r.n for r in made.groupBy(F.octet_length("q").alias("n")).agg(F.count("*").alias("k")).where("k > 1").orderBy("n").collect()]
+    for n in lengths:
+        own = made.where(F.octet_length("q") == n)
+        parts, _, _ = graph(own)
+        found = common.cut(counted(own, parts))
+        links = found if links is None else links.union(found)
+    by = made.select("embedding", "id", "low", "w")
+    if links is None:
+        by = by.withColumns({"links": F.lit(0).cast("long"), "component": F.lit(None).cast("long")})
+    else:
+        by = by.join(links, "id", "left")
+    by = common.cut(by.select("embedding", "low", "w", F.coalesce("component", "id").alias("part"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    # Components are named by their smallest vec_id, and rows find their class by the vector itself.
+    lowest = common.cut(by.groupBy("part").agg(F.min("low").alias("component"), F.count("*").alias("k")))
+    of = common.cut(common.spread(by, lowest, "part", "k").select("embedding", "links", "component", "w"))
+    common.release(made, by, lowest)
+    found = common.spread(rows.where("vec_id is not null"), of, "embedding", "w", "left").union(rows.where("vec_id is null").select("vec_id", "embedding", F.lit(0).cast("long"), F.lit(None).cast("long")))
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return found.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return found.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def op10_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

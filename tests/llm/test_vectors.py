@@ -86,3 +86,29 @@ def test_audit_of_few_links(spark, monkeypatch):
 
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_repeated_ids_and_lengths(spark):
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (10, [1.0, 0.0]), (11, [1.0, 0.01]), (12, [0.0, 1.0]), (13, [5.0]), (14, [2.0]), (15, None), (None, a)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vectors.near_duplicates(df).where("vec_id is not null").collect())
+    assert got == [
+        (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True),
+        (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True), (13, 1, 13, True), (14, 1, 13, False), (15, 0, 15, True),
+    ]
+
+
+def test_hot_vectors_and_ties(spark, monkeypatch):
+    # Very many rows of one vector, one component with most vectors, and a pair at the threshold itself.
+    monkeypatch.setattr(vectors.common, "HOT_ROWS", 5)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "ROWS", 5)
+    rng = np.random.default_rng(2)
+    hot, other = rng.standard_normal((2, 24))
+    rows = [(k, hot.tolist()) for k in range(60)] + [(100 + k, (other + rng.standard_normal(24) * 0.02).tolist()) for k in range(50)]
+    tie = np.zeros((2, 24))
+    tie[0, 0], tie[1, :2] = 1, (19, math.sqrt(39))
+    rows += [(500 + k, v.tolist()) for k, v in enumerate(tie)] + [(600 + k, rng.standard_normal(24).tolist()) for k in range(30)]
+    got = {r.vec_id: tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    assert got == {r[0]: r for r in brute(rows)} and got[0][1] == 59 and got[500][1] == 1

@@ -34,7 +34,23 @@ NOISE = """
 10000-115FF 12000-1247F 13000-1342F 16800-16FFF 17000-187FF 1B000-1B0FF 1CE00-1CEFF 1D100-1D1FF 1D400-1D7FF 1F000-1FFFF
 20000-2A6DF 2A700-2EBEF 2F800-2FA1F 30000-3134F 60000-6FFFF E0000-E01EF F0000-10FFFF
 """
+
+
+def _merged(ranges: str) -> list[tuple[int, int]]:
+    """Ranges of code points with those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(tuple(int(x, 16) for x in r.split("-")) for r in ranges.split()):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 NOISE_CLASS = "[" + "".join("\\x{%s}-\\x{%s}" % tuple(r.split("-")) for r in NOISE.split()) + "]"
+_NOISE = _merged(NOISE)
+#: Of a class with && the left side is tried first, so characters below all noise cost one comparison.
+_NOISE_RUN = "[\\x{%X}-\\x{10FFFF}&&[" % _NOISE[0][0] + "".join("\\x{%X}-\\x{%X}" % r for r in _NOISE) + "]]+"
 
 #: ASCII punctuation and its full-width form.
 HALF, FULL = ",?!:;()", "，？！：；（）"
@@ -44,7 +60,8 @@ INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2069\\ufeff\\u00ad\\u2060\\ufe00-
 
 
 def fractions(text: Column) -> Column:
-    return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), FRACTIONS.items(), text)
+    made = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), FRACTIONS.items(), text)
+    return F.when(text.rlike("[" + "".join(FRACTIONS) + "]"), made).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -83,7 +100,7 @@ def strip_line_ends(text: Column) -> Column:
 
 
 def drop_noise(text: Column) -> Column:
-    return F.regexp_replace(text, NOISE_CLASS, "")
+    return F.regexp_replace(text, _NOISE_RUN, "")
 
 
 def half_width(text: Column) -> Column:

@@ -346,9 +346,9 @@ def category_bfs(spark, sf_dir):
     return catalogue.category_tree(spark.sql(f"SELECT * FROM {EDGES}"), spark.sql("SELECT 'a' AS name"), 3)
 
 
-@query("SELECT c_custkey::VARCHAR AS title, c_mktsegment AS lang, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS categories, coalesce(array_to_string(list_sort(list(o_orderpriority) FILTER (o_orderpriority IS NOT NULL))[1:5], '|'), '') AS first_five FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_nationkey = 3 GROUP BY 1, 2")
+@query("SELECT c_custkey::VARCHAR AS title, c_mktsegment AS lang, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS categories, coalesce(array_to_string(list_sort(list(o_orderpriority) FILTER (o_orderpriority IS NOT NULL))[1:5], '|'), '') AS first_five FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
 def article_categories_agg(spark, sf_dir):
-    people = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("title"), F.col("c_mktsegment").alias("lang"), F.lit("pending").alias("stage"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("title"), F.col("c_mktsegment").alias("lang"), F.lit("pending").alias("stage"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("title"), F.col("o_orderpriority").alias("category"))
     members = orders.join(people.select("title", "lang"), "title")
     return catalogue.pending_with_categories(people, members).withColumn("first_five", F.array_join("first_five", "|"))

@@ -96,13 +96,21 @@ class Node:
             node.children = out
 
     def html(self) -> str:
-        parts = []
-        for c in self.children:
-            if isinstance(c, str):
+        parts: list[str] = []
+        # What is still to be written, the next one last: nodes, and names of elements to end.
+        stack: list[Node | str | tuple[str]] = list(reversed(self.children))
+        while stack:
+            c = stack.pop()
+            if isinstance(c, tuple):
+                parts.append(f"</{c[0]}>")
+            elif isinstance(c, str):
                 parts.append(c.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
             else:
                 attrs = "".join(f' {k}="{(v or "").replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in c.attrs.items())
-                parts.append(f"<{c.name}{attrs}/>" if c.name in VOID else f"<{c.name}{attrs}>{c.html()}</{c.name}>")
+                parts.append(f"<{c.name}{attrs}/>" if c.name in VOID else f"<{c.name}{attrs}>")
+                if c.name not in VOID:
+                    stack.append((c.name,))
+                    stack.extend(reversed(c.children))
         return "".join(parts)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.lineage import checkpointed
+
 #: The years that count, as a half-open range, and keywords of categories.
 YEARS = (1467, 1616)
 EXCLUDE = ("を題材とした", "の映画", "のテレビ", "のアニメ", "の漫画", "のゲーム", "の小説", "の文学", "の演劇", "の遺跡", "の建築", "の城郭", "の災害", "の地震", "の飢饉", "の疫病", "の研究", "博物館", "に関する書籍", "アジアの軍人", "世界の")
@@ -40,12 +42,14 @@ def category_tree(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(name, depth): categories reached from roots over (parent, child) edges, each at its least depth; one at depth isn't expanded.
 
     Frontiers are joined round by round against what was not seen yet, so cycles end and nothing is held on the driver.
+    Each is checkpointed, so that a level is found once; levels end with the first that finds nothing.
     """
-    seen = roots.select("name").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    front = seen = checkpointed(roots.select("name").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         names = front.join(edges, front["name"] == edges["parent"]).select(F.col("child").alias("name")).distinct()
-        front = names.join(seen, "name", "left_anti").withColumn("depth", F.lit(level))
+        front = checkpointed(names.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

@@ -182,9 +182,20 @@ def _first(rows: DataFrame, most: int, order: str) -> DataFrame:
 
 
 def occurrences(text: Column, term: Column) -> Column:
-    """0-based places of term in text, overlapping ones too."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(term) + 1, F.lit(1)))
-    return F.transform(F.filter(starts, lambda i: F.substring(text, i, F.length(term)) == term), lambda i: i - 1)
+    """0-based places of term in text, overlapping ones too; an empty term is at every place.
+
+    text is split before each place of term, in one pass; the lengths of the pieces tell the places.
+    """
+    quoted = F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")), -1)
+    start = F.struct(F.lit(0).alias("past"), F.array().cast("array<int>").alias("places"))
+    places = F.aggregate(
+        pieces,
+        start,
+        lambda a, x: F.struct((a["past"] + F.length(x)).alias("past"), F.concat(a["places"], F.array(a["past"])).alias("places")),
+        lambda a: F.filter(a["places"], lambda i: (i > 0) | F.startswith(text, term)),
+    )
+    return F.when(F.length(term) == 0, F.sequence(F.lit(0), F.length(text))).otherwise(places)
 
 
 def term_tokens(found: DataFrame, offsets: Column, order: str = "line_no") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import catalog
 from lexiloom.functions.dom import parse
-from lexiloom.operators import articles, blocks, books, metrics, ngrams, tokens, translation
+from lexiloom.operators import articles, blocks, books, catalogue, metrics, ngrams, tokens, translation
 from lexiloom.plans import cleaning
 from lexiloom.sources import corpora, epub
 from lexiloom.streaming import incremental
@@ -173,3 +173,26 @@ def test_every_query_has_a_stable_schema(spark):
     for name, q in catalog.queries().items():
         df = q(spark, "/root/testdata/sf0.001")
         assert len(set(df.columns)) == len(df.columns), name
+
+
+def test_occurrences_of_odd_terms(spark):
+    rows = [("ababa", "aba"), ("a\\Eb\\Eb", "\\Eb"), ("x𠮷𠮷y𠮷", "𠮷"), ("", "a"), ("abc", "x"), ("a.c", "."), ("ab", ""), (None, "a"), ("ab" * 20000, "b")]
+    made = spark.createDataFrame(rows, "t string, k string").select("t", tokens.occurrences(F.col("t"), F.col("k")).alias("o")).collect()
+    for (text, term), row in zip(rows, made, strict=True):
+        want = None if text is None else [i for i in range(len(text) + 1) if text.startswith(term, i)]
+        assert row.o == want, (text, term)
+
+
+def test_deeply_nested_pages():
+    deep = 3000
+    assert articles.clean_html("<div>" * deep + "x" + "</div>" * deep) == "<div>" * deep + "x" + "</div>" * deep
+    assert articles.clean_html("<blockquote>" + "<em>" * deep + "x<br>y" + "</em>" * deep + "</blockquote>") == "<blockquote>x<br/>y</blockquote>"
+
+
+def test_category_levels_end_with_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("x", "y"), (None, "z")], "parent string, child string")
+    roots = spark.createDataFrame([("a",), ("a",)], "name string")
+    tree = lambda depth: sorted(tuple(r) for r in catalogue.category_tree(edges, roots, depth).collect())
+    assert tree(0) == [("a", 0)]
+    assert tree(1) == [("a", 0), ("b", 1), ("c", 1)]
+    assert tree(50) == [("a", 0), ("b", 1), ("c", 1)]

@@ -81,3 +81,55 @@ def test_held_out_labels():
         right += int((pii._decoded(field, pii.codes(pii.shapes(words, data)), starts) == states).sum())
         total += len(states)
     assert right >= 0.95 * total
+
+
+#: Sentences with one span each that no base pattern finds, and sentences with none; $n is a random number of n digits.
+HIDDEN = [
+    (0, "please write to <anna.lind at postbox dot org> before noon"), (0, "Contact: <sales (at) bigshop (dot) com>, thanks"), (0, "or <jo$2 [at] mail [dot] example [dot] net> instead"),
+    (0, "my address is <k.moreau at poste dot laval dot fr>."), (0, "<info {at} museum {dot} de> answers"),
+    (3, "call <($3) $3-$4> after six"), (3, "Phone <$3-$3-$4>, ask for Ben."), (3, "fax: <$3.$3.$4>"), (3, "ring <($3) $3 $4> today"),
+    (2, "paid with <amex15> yesterday"), (2, "card <amex4-6-5> expired"),
+]
+PLAIN = [
+    "We met at noon at the dot on the map.", "Version $1.$1 of $4-$2-$2 costs $3 dollars.", "Il va de Paris de nuit et de jour.", "It is at home dot and done, us or no.", "rows $3 $3 $3 $2 $1 follow", "pages $3-$3 and $2:$2 o'clock", "order $8 shipped, item ($4) is late",
+    "She looked at it and said no.", "The score was $2 - $1 at half time.", "Release v$1.$1 at $2:$2",
+]
+
+
+def hidden_rows(n):
+    rnd = random.Random(77)
+    fill = lambda s: re.sub(r"\$([0-9])", lambda m: "".join(rnd.choice("123456789") for _ in range(int(m[1]))), s)
+
+    def amex(sizes):
+        while True:
+            digits = "3" + "".join(rnd.choice("0123456789") for _ in range(14))
+            if pii.luhn(digits):
+                return " ".join(digits[a:b] for a, b in sizes)
+
+    out = []
+    for i in range(n):
+        if i % 2:
+            out.append((fill(rnd.choice(PLAIN)), None))
+            continue
+        kind, text = rnd.choice(HIDDEN)
+        text = fill(text).replace("amex15", amex([(0, 15)])).replace("amex4-6-5", amex([(0, 4), (4, 10), (10, 15)]))
+        a, b = text.index("<"), text.index(">") - 1
+        out.append((text.replace("<", "").replace(">", ""), (kind, a, b)))
+    return out
+
+
+def test_added_spans_rest_on_the_field():
+    """Precision and recall of added spans on rows that no pattern covers; without its weights the field adds nothing of the kind."""
+    rows = hidden_rows(1500)
+    data, off = pii.common.flat(pii.pa.array([t for t, _ in rows]))
+    field = pii.fit(pii.labelled_table())
+    found = pii.scan_slice(field, data, off)
+    assert all(base == [] for (base, _), (_, want) in zip(found, rows, strict=True) if want)
+    for kind in (0, 2, 3):
+        wanted = [(i, want) for i, (_, want) in enumerate(rows) if want and want[0] == kind]
+        added = [(i, s) for i, (base, every) in enumerate(found) for s in every if s not in base and s[0] == kind]
+        right = len(set(wanted) & set(added))
+        print(pii.KINDS[kind], "precision", right / max(len(added), 1), "recall", right / len(wanted))
+        assert right >= 0.9 * len(wanted) and right >= 0.95 * len(added)
+    blank = pii.Field(field.seen)
+    assert all(base == every for base, every in pii.scan_slice(blank, data, off))

@@ -272,9 +272,13 @@ class Field:
         return out
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
+def _lse(x: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """log of the sum of exp(x) over its last axis, or of its product with weight."""
+    top = x.max(-1, keepdims=True)
+    e = np.exp(x - top)
+    with np.errstate(divide="ignore"):
+        # States that cannot follow have no weight: -inf.
+        return np.log(e.sum(-1)) + top[..., 0] if weight is None else np.log(e @ weight) + top
 
 
 def fit(table: list[tuple[list[str], list[int]]], steps: int = STEPS) -> Field:
@@ -290,6 +294,10 @@ def fit(table: list[tuple[list[str], list[int]]], steps: int = STEPS) -> Field:
     field = Field(np.unique(code))
     f = _features(code, field.seen)
     inner = np.flatnonzero(~starts[1:])
+    # Features as a matrix, a row for each token of the table.
+    has = np.zeros((len(code), len(field.own)))
+    has[np.arange(len(code))[:, None], f] = 1
+    has_inner, has_next = has[inner], has[inner + 1]
     n, top = len(size), int(size.max())
     place = np.full((n, top), -1)
     for k in range(n):
@@ -304,29 +312,25 @@ def fit(table: list[tuple[list[str], list[int]]], steps: int = STEPS) -> Field:
         scores[inner + 1] += field.before[f[inner]].sum(1)
         scores[inner] += field.after[f[inner + 1]].sum(1)
         e = np.where(real[:, :, None], scores[place], 0)
-        trans = field.pair + field.allowed
+        trans = np.exp(field.pair + field.allowed)
         a, b = np.zeros((n, top, STATES)), np.zeros((n, top, STATES))
         a[:, 0] = e[:, 0] + field.first + field.begin
         for t in range(1, top):
-            a[:, t] = np.where(real[:, t, None], _lse(a[:, t - 1, :, None] + trans, 1) + e[:, t], a[:, t - 1])
-        z = _lse(a[:, -1], 1)
+            a[:, t] = np.where(real[:, t, None], _lse(a[:, t - 1], trans) + e[:, t], a[:, t - 1])
+        z = _lse(a[:, -1])
         for t in range(top - 2, -1, -1):
-            b[:, t] = np.where(real[:, t + 1, None], _lse(trans[None] + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
+            b[:, t] = np.where(real[:, t + 1, None], _lse(e[:, t + 1] + b[:, t + 1], trans.T), 0)
         p = np.exp(a + b - z[:, None, None])
         pair = np.zeros((STATES, STATES))
         for t in range(1, top):
-            x = np.exp(a[:, t - 1, :, None] + trans + (e[:, t] + b[:, t])[:, None, :] - z[:, None, None])
-            pair += x[real[:, t]].sum(0)
+            on = real[:, t]
+            from_, to = a[on, t - 1], e[on, t] + b[on, t] - z[on, None]
+            most = from_.max(1, keepdims=True)
+            pair += trans * (np.exp(from_ - most).T @ np.exp(to + most))
         error = np.zeros_like(gold)
         error[place[real]] = p[real]
         error = gold - error
-        grads = [np.zeros_like(w) for w in field.arrays()]
-        for c in range(f.shape[1]):
-            np.add.at(grads[0], f[:, c], error)
-            np.add.at(grads[1], f[inner, c], error[inner + 1])
-            np.add.at(grads[2], f[inner + 1, c], error[inner])
-        grads[3] += gold_pair - pair
-        grads[4] += gold_first - p[:, 0].sum(0)
+        grads = [has.T @ error, has_inner.T @ error[inner + 1], has_next.T @ error[inner], gold_pair - pair, gold_first - p[:, 0].sum(0)]
         for w, g, (m, v) in zip(field.arrays(), grads, moments, strict=True):
             g = g - 0.1 * w
             m += 0.1 * (g - m)

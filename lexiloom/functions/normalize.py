@@ -56,12 +56,14 @@ _NOISE_RUN = "[\\x{%X}-\\x{10FFFF}&&[" % _NOISE[0][0] + "".join("\\x{%X}-\\x{%X}
 HALF, FULL = ",?!:;()", "，？！：；（）"
 
 #: Zero-width characters and direction marks, soft hyphen, word joiner, byte order mark, variation selectors.
-INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2069\\ufeff\\u00ad\\u2060\\ufe00-\\ufe0f]"
+INVISIBLE = "\\u00ad[\\u200b-\\ufeff&&[\\u200b-\\u200f\\u202a-\\u202e\\u2069\\ufeff\\u2060\\ufe00-\\ufe0f]]"
+#: Control characters but for tab, line feed and carriage return, each by itself (see pytext on classes).
+CONTROLS = "".join("\\x%02x" % c for c in (*range(0x20), *range(0x7F, 0xA0)) if c not in (9, 10, 13))
 
 
 def fractions(text: Column) -> Column:
     made = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), FRACTIONS.items(), text)
-    return F.when(text.rlike("[" + "".join(FRACTIONS) + "]"), made).otherwise(text)
+    return F.when(text.rlike("[%s-%s&&[%s]]" % (min(FRACTIONS), max(FRACTIONS), "".join(FRACTIONS))), made).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -69,17 +71,37 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def _beyond_ascii(text: Column) -> Column:
+    """text if it has a character of more than one byte, else null."""
+    return pytext.once(text, lambda t: F.when(F.octet_length(t) > F.length(t), t))
+
+
 def nfkc(text: Column) -> Column:
     """Unicode has no SQL function for it; texts in ASCII don't change, and go to Python as nulls."""
-    return F.coalesce(_nfkc(F.when(text.rlike("[^\\x00-\\x7f]"), text)), text)
+    return F.coalesce(_nfkc(_beyond_ascii(text)), text)
+
+
+@F.pandas_udf(T.StringType())
+def _plain_nfkc(text: pd.Series) -> pd.Series:
+    def one(t: str) -> str:
+        for a, b in FRACTIONS.items():
+            t = t.replace(a, b)
+        return unicodedata.normalize("NFKC", t)
+
+    return text.map(one, na_action="ignore")
+
+
+def fractions_nfkc(text: Column) -> Column:
+    """nfkc(fractions(text)) with both in Python, where the texts that may change go anyway."""
+    return F.coalesce(_plain_nfkc(_beyond_ascii(text)), text)
 
 
 def drop_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, INVISIBLE, "")
+    return F.regexp_replace(text, f"[{INVISIBLE}]", "")
 
 
 def drop_controls(text: Column) -> Column:
-    return F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x80-\\x9f]", "")
+    return F.regexp_replace(text, f"[{CONTROLS}]", "")
 
 
 def plain_spaces(text: Column) -> Column:
@@ -88,15 +110,16 @@ def plain_spaces(text: Column) -> Column:
 
 def squeeze_spaces(text: Column) -> Column:
     """Five or more spaces after a line's first other character become four; lines are joined by a newline."""
-    return F.regexp_replace(pytext.unify_lines(text), "(?<=[^ \\n]) {5,}", "    ")
+    return pytext.where_has(pytext.unify_lines(text), "     ", lambda t: F.regexp_replace(t, " (?<=[^ \\n] ) {4,}", "    "))
 
 
 def squeeze_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\\n{3,}", "\n\n")
+    return pytext.where_has(text, "\n\n\n", lambda t: F.regexp_replace(t, "\\n{3,}", "\n\n"))
 
 
-def strip_line_ends(text: Column) -> Column:
-    return F.regexp_replace(pytext.unify_lines(text), f"[{pytext.SPACE_BUT_NEWLINE}]+(?=\\n|\\z)", "")
+def strip_line_ends(text: Column, unified: bool = False) -> Column:
+    """unified: text has no other line breaks than newlines."""
+    return F.regexp_replace(text if unified else pytext.unify_lines(text), pytext.run_before(pytext.SPACE_BUT_NEWLINE, "(?=\\n|\\z)"), "")
 
 
 def drop_noise(text: Column) -> Column:
@@ -109,14 +132,27 @@ def half_width(text: Column) -> Column:
 
 def punctuation(text: Column) -> Column:
     """Dots to an ellipsis, double marks, full-width marks, and full stops between no digits."""
-    text = F.regexp_replace(text, "\\.{2,}", "……")
-    text = F.replace(text, F.lit("‼"), F.lit("!!"))
-    return F.regexp_replace(F.translate(text, HALF, FULL), "(?<!\\p{Nd})\\.(?!\\p{Nd})", "。")
+    return _marks(text, HALF, FULL)
+
+
+def _marks(text: Column, of: str, to: str) -> Column:
+    text = F.translate(F.replace(text, F.lit("‼"), F.lit("!!")), of, to)
+    text = pytext.where_has(text, "..", lambda t: F.regexp_replace(t, "\\.{2,}", "……"))
+    return pytext.where_has(text, ".", lambda t: F.regexp_replace(t, "\\.(?<!\\p{Nd}\\.)(?!\\p{Nd})", "。"))
+
+
+def half_width_punctuation(text: Column) -> Column:
+    """punctuation(half_width(text)) in one table: a full-width mark would become half-width and full-width again."""
+    wide = [c for c in range(0xFF01, 0xFF5F) if chr(c) not in FULL]
+    return _marks(text, HALF + "".join(map(chr, wide)), FULL + "".join(chr(c - 0xFEE0) for c in wide))
 
 
 def _alternate(text: Column, mark: str, opening: str, closing: str) -> Column:
-    parts = F.split(text, mark, -1)
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).when(i % 2 == 1, F.concat(F.lit(opening), x)).otherwise(F.concat(F.lit(closing), x))), "")
+    def marked(t: Column) -> Column:
+        parts = F.split(t, mark, -1)
+        return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).when(i % 2 == 1, F.concat(F.lit(opening), x)).otherwise(F.concat(F.lit(closing), x))), "")
+
+    return pytext.where_has(text, mark, marked)
 
 
 def quotes(text: Column) -> Column:
@@ -132,15 +168,14 @@ def simplified(text: Column, table: dict[str, str] | None = None) -> Column:
 
 
 def whitespace(text: Column) -> Column:
-    for step in (drop_invisible, drop_controls, plain_spaces, squeeze_spaces, squeeze_newlines, strip_line_ends, pytext.strip):
-        text = step(text)
-    return text
+    # Both only drop characters; the end's newlines, of which strip_line_ends() would drop one, go with pytext.strip().
+    text = F.regexp_replace(text, f"[{CONTROLS}{INVISIBLE}]", "")
+    text = squeeze_newlines(squeeze_spaces(plain_spaces(text)))
+    return pytext.strip(strip_line_ends(text, unified=True))
 
 
 def normalize(text: Column, unicode_form: bool = True) -> Column:
-    text = fractions(text)
-    if unicode_form:
-        text = nfkc(text)
-    for step in (whitespace, drop_noise, half_width, punctuation, quotes):
+    text = fractions_nfkc(text) if unicode_form else fractions(text)
+    for step in (whitespace, drop_noise, half_width_punctuation, quotes):
         text = step(text)
     return text

@@ -1,6 +1,8 @@
 """Text functions and the quality chain against Python's own semantics and hand-made cases."""
 
+import functools
 import re
+import time
 import unicodedata
 
 import pytest
@@ -98,3 +100,25 @@ def test_eras(spark):
     assert [era.chinese(n) for n in (1, 10, 11, 20, 99)] == ["一", "十", "十一", "二十", "九十九"]
     with pytest.raises(ValueError):
         era.pattern([""])
+
+
+def test_white_space_in_one_pass(spark):
+    """Every character as Python sees it, and a run of blanks that ends in none of the places isn't tried from each of its characters."""
+    texts = [chr(c) + "a" + chr(c) for c in range(0x3100)]
+    assert column(spark, texts, pytext.strip) == [t.strip() for t in texts]
+    assert column(spark, [t[0] for t in texts], pytext.is_blank) == [t[0].isspace() for t in texts]
+    long = "a" + "\t" * 300_000 + "b"
+    start = time.time()
+    assert column(spark, [long], normalize.strip_line_ends) == [long] and column(spark, [long], pytext.strip) == [long]
+    assert time.time() - start < 20
+
+
+def test_fused_steps_are_the_steps(spark):
+    texts = ["½ ，。．．a. ‼ ！x．5 𝟎.5", "　​\x00 a      b\r\n \n\n c 　\n ", "\x1fé­", ""]
+    steps = (normalize.fractions, normalize.nfkc, normalize.drop_invisible, normalize.drop_controls, normalize.plain_spaces, normalize.squeeze_spaces, normalize.squeeze_newlines, normalize.strip_line_ends, pytext.strip, normalize.drop_noise, normalize.half_width, normalize.punctuation, normalize.quotes)
+    assert column(spark, texts, normalize.normalize) == column(spark, texts, lambda c: functools.reduce(lambda t, f: f(t), steps, c))
+
+
+def test_each_measure_is_computed_once(spark):
+    plan = quality.clean(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1 and plan.count("p{Cn}") == 1

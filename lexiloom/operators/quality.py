@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.functions import normalize, pytext
+from lexiloom.functions.pytext import once
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,22 @@ def _noise_count(text: pd.Series) -> pd.Series:
     return text.map(lambda t: sum(unicodedata.category(c) in kinds and c not in "\n\t" for c in t), na_action="ignore")
 
 
-def noise_ratio(text: Column, limit: float) -> Column:
+#: Characters of the noise categories but for newline and tab; low ones stand singly (see pytext on classes).
+_NOISE = "[" + "".join("\\x%02x" % c for c in (*range(0x20), *range(0x7F, 0xA0)) if c not in (9, 10)) + "[\\x{ad}-\\x{10ffff}&&[\\p{Cc}\\p{Cs}\\p{Co}\\p{Cn}]]]"
+
+
+def rough_noise_ratio(text: Column) -> Column:
+    """noise_ratio() by Java's tables."""
+    return (F.length(text) - F.length(F.regexp_replace(text, _NOISE + "+", ""))) / F.greatest(F.length(text), F.lit(1))
+
+
+def noise_ratio(text: Column, limit: float, rough: Column | None = None) -> Column:
     """Share of control, surrogate, private and unassigned characters but for newline and tab.
 
     Java's tables count some newer characters as unassigned but none less, so a share that they keep within the limit
-    needs no exact count; such texts go to Python as nulls.
+    needs no exact count; such texts go to Python as nulls. rough: a column of that share, if there is one.
     """
-    rough = F.length(F.regexp_replace(text, "[^\\p{Cc}\\p{Cs}\\p{Co}\\p{Cn}]|[\\n\\t]", "")) / F.greatest(F.length(text), F.lit(1))
+    rough = rough_noise_ratio(text) if rough is None else rough
     return F.coalesce(_noise_count(F.when(rough > limit, text)) / F.length(text), rough)
 
 
@@ -53,13 +63,14 @@ def non_space_length(text: Column) -> Column:
 
 def chinese_ratio(text: Column) -> Column:
     """Null if there is nothing but white space."""
-    return F.length(F.regexp_replace(text, "[^\\u4e00-\\u9fff]+", "")) / F.nullif(non_space_length(text), F.lit(0))
+    share = F.length(F.regexp_replace(text, "[^\\u4e00-\\u9fff]+", "")) / non_space_length(text)
+    return F.when(text.rlike("[\\u4e00-\\u9fff]"), share).when(~pytext.is_blank(text), 0.0)
 
 
 def duplicate_line_ratio(text: Column) -> Column:
     """Null without a line that isn't blank."""
     lines = F.filter(pytext.splitlines(text), lambda x: ~pytext.is_blank(x))
-    return 1.0 - F.size(F.array_distinct(lines)) / F.nullif(F.size(lines), F.lit(0))
+    return once(lines, lambda x: F.when(F.size(x) > 0, 1.0 - F.size(F.array_distinct(x)) / F.size(x)))
 
 
 def has_repeated_char(text: Column, run: int) -> Column:
@@ -67,23 +78,25 @@ def has_repeated_char(text: Column, run: int) -> Column:
     return text.rlike("(?d)(.)\\1{%d,}" % run)
 
 
-def fail_reason(text: Column, config: CleanConfig) -> Column:
-    """Struct (code, value) of the first failing check, null if all pass."""
+def fail_reason(text: Column, config: CleanConfig, rough: Column | None = None) -> Column:
+    """Struct (code, value) of the first failing check, null if all pass. rough: as in noise_ratio()."""
 
     def reason(code: str, value: Column) -> Column:
         return F.struct(F.lit(code).alias("code"), value.cast("double").alias("value"))
 
     size = F.length(text)
-    noise, chinese, twice = noise_ratio(text, config.max_noise_char_ratio), chinese_ratio(text), duplicate_line_ratio(text)
+    noise = noise_ratio(text, config.max_noise_char_ratio, rough)
     checks = [
         F.when(size < config.min_chars, reason("too_short", size)),
         F.when(size > config.max_chars, reason("too_long", size)),
-        F.when(noise > config.max_noise_char_ratio, reason("noise_chars", noise)),
+        once(noise, lambda x: F.when(x > config.max_noise_char_ratio, reason("noise_chars", x))),
         F.when(has_repeated_char(text, config.max_repeated_char_run), reason("repeated_chars", F.lit(config.max_repeated_char_run))),
-        F.when(non_space_length(text) == 0, reason("empty_after_strip", F.lit(0))),
-        F.when(chinese < config.min_chinese_ratio, reason("chinese_ratio", chinese)),
-        F.when(twice > config.max_duplicate_line_ratio, reason("duplicate_lines", twice)),
+        F.when(pytext.is_blank(text), reason("empty_after_strip", F.lit(0))),
+        once(duplicate_line_ratio(text), lambda x: F.when(x > config.max_duplicate_line_ratio, reason("duplicate_lines", x))),
     ]
+    if config.min_chinese_ratio > 0:
+        # No share is below 0.
+        checks.insert(-1, once(chinese_ratio(text), lambda x: F.when(x < config.min_chinese_ratio, reason("chinese_ratio", x))))
     if config.block_patterns:
         checks.append(F.when(text.rlike("(?iu)" + "|".join(config.block_patterns)), reason("block_pattern_matched", F.lit(None))))
     return F.coalesce(*checks)
@@ -112,8 +125,9 @@ def clean(docs: DataFrame, column: str = "text", config: CleanConfig | None = No
     config = config or CleanConfig()
     text = normalize.normalize(normalize.simplified(F.coalesce(F.col(column), F.lit("")), table), config.unicode_normalize)
     # explode() of one element is where the optimizer stops copying an expression into each place that uses it.
-    once = docs.select("*", F.explode(F.array(text)).alias("_clean"))
-    made = once.select("*", F.explode(F.array(fail_reason(F.col("_clean"), config))).alias("_reason"))
+    single = docs.select("*", F.explode(F.array(text)).alias("_clean"))
+    rough = single.select("*", F.explode(F.array(rough_noise_ratio(F.col("_clean")))).alias("_rough"))
+    made = rough.select("*", F.explode(F.array(fail_reason(F.col("_clean"), config, F.col("_rough")))).alias("_reason"))
     return made.select(
         *docs.columns, F.col("_reason").isNull().alias("passed"), F.when(F.col("_reason").isNull(), F.col("_clean")).otherwise("").alias("clean_text"), F.coalesce("_reason.code", F.lit("")).alias("fail_code"), F.col("_reason.value").alias("fail_value")
     )

@@ -1,5 +1,6 @@
 """Catalogue, articles, books, translation, sources, streaming and logs on small rows."""
 
+import gc
 import io
 import json
 import os
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom import catalog
-from lexiloom.functions.dom import parse
+from lexiloom.functions.dom import Node, parse
 from lexiloom.operators import articles, blocks, books, catalogue, metrics, ngrams, tokens, translation
 from lexiloom.plans import cleaning
 from lexiloom.sources import corpora, epub
@@ -22,6 +23,22 @@ def test_tree_tolerates_open_tags():
     assert [p.text() for p in root.all("p")] == ["x", "y"] and root.first("div").text() == "z" and root.first("b").text() == "q"
 
 
+def test_trees_go_without_the_collector(spark):
+    html = "<div class='navbox'><p>a<b>b</b></p></div><section><ruby>x<rt>y</rt></ruby><blockquote>q<br>r</blockquote></section>" * 5
+    gc.collect()
+    gc.disable()
+    try:
+        articles.clean_html(html)
+        articles.parse_page("t", html)
+        assert not [x for x in gc.get_objects() if isinstance(x, Node)]
+    finally:
+        gc.enable()
+    sizes = spark.range(2000, numPartitions=1).selectExpr("cast(id as string) title", "'<p>x</p>' html")
+    articles.page_text(sizes)
+    got = sizes.select("html").mapInPandas(lambda batches: (x.head(1).assign(html=str(len(x))) for x in batches), "html string").collect()
+    assert max(int(r.html) for r in got) <= articles.BATCH_ROWS
+
+
 def test_cleaner_rules():
     html = '<head><title>t</title></head><p>漢<ruby>字<rp>(</rp><rt>じ</rt></ruby> 文<sup class="reference">[1]</sup><sup>2</sup><span class="mw-editsection">edit</span><a href="x">リンク</a><b>太 <span>字</span></b><i>斜</i><span><img></span><span> </span><small>s</small></p><table><tr><td>x</td></tr></table><table class="wikitable"><tr><td>k</td></tr></table><div class="navbox">n</div><blockquote>a\n b<br><cite>c  d</cite></blockquote>'
     clean = articles.clean_html(html)

@@ -240,7 +240,7 @@ def word_vocabulary(spark, sf_dir):
 SELECT doc_id, md5(string_agg(id::VARCHAR, ',' ORDER BY rn) || ',0') AS digest, (count(*) + 1)::INT AS n FROM k JOIN v USING (token) GROUP BY doc_id""")
 def encoded_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    made = tokens.encode_words(docs, tokens.vocabulary(docs), "doc_id")
+    made = tokens.encode_words(docs, None, "doc_id")
     return made.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"), F.size("ids").alias("n"))
 
 
@@ -262,7 +262,7 @@ def term_token_mode(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('##'), ('zzzzzzq')) AS t(word)")
 def vocabulary_missing(spark, sf_dir):
-    return tokens.missing(spark, ["the", "##", "zzzzzzq"], tokens.vocabulary(table(spark, sf_dir, "documents").select("text")))
+    return tokens.missing(spark, ["the", "##", "zzzzzzq"], tokens.word_counts(table(spark, sf_dir, "documents")))
 
 
 # --- packing ---

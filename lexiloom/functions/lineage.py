@@ -1,22 +1,37 @@
-"""Cuts of lineage for loops that join a table round by round."""
+"""Cuts of lineage: tables that are computed once and read again."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the checkpoint folder from then on.
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Where none is set, a session in one process gets a new local one; on a cluster,
-    whose machines share no local folder, that is an error.
+    Where none is set, a session in one process gets a new local one; on a cluster, whose machines share no local
+    folder, that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the checkpoint folder from then on. For the small tables of loops."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written once as a Parquet table to the checkpoint folder; later steps read the columns they need."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,17 +7,25 @@ pairs on the driver, on counts of distinct words.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.lineage import written
+
 #: Special tokens, vocabulary size and least frequency of training.
 SPECIALS = ("<|unk|>", "<|pad|>", "<|im_end|>", "<|im_system|>", "<|im_user|>", "<|im_assistant|>")
 VOCAB_SIZE, MIN_FREQUENCY = 40_960, 5
 #: Contexts that a term is encoded in.
 PREFIX, SUFFIX = "这是", "的内容"
+#: Bytes of words that share a table of codes.
+CHUNK_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -25,18 +33,120 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]"), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """The text whose parts between spaces and the controls 9 to 13 are its words(), in order."""
+    return F.regexp_replace(F.lower(text), "[^\\s\\p{L}\\p{N}]", "\n$0\n")
+
+
+def word_counts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """(word, n)."""
+    return docs.select(F.explode(words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def vocabulary(docs: DataFrame, column: str = "text", first_id: int = 1) -> DataFrame:
     """(word, n, id): words by falling frequency, then by word; id 0 is left for the end of a document."""
-    counts = docs.select(F.explode(words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    # Ids are global ranks of distinct words, a table as large as a vocabulary.
-    return counts.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) + (first_id - 1)).cast("int"))
+    return numbered(word_counts(docs, column), first_id)
 
 
-def encode_words(docs: DataFrame, vocab: DataFrame, key: str, column: str = "text", eos: int = 0) -> DataFrame:
-    """(key, ids): ids of the words of each text in order and the end id; texts without a word have no row. key must be unique."""
-    each = docs.select(key, F.posexplode(words(F.col(column))).alias("at", "word"))
-    joined = each.join(vocab.select("word", "id"), "word")
-    return joined.groupBy(key).agg(F.concat(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]), F.array(F.lit(eos))).alias("ids"))
+def numbered(counts: DataFrame, first_id: int = 1) -> DataFrame:
+    """(word, n, id) of (word, n): the sorted ranges are written once, and only their sizes meet in one task."""
+    # The upper bits of the number are the range, the lower 33 the place in it.
+    laid = written(counts.orderBy(F.desc("n"), "word").select("word", "n", F.monotonically_increasing_id().alias("place")))
+    part = F.shiftright("place", 33)
+    sizes = laid.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("part", before.alias("base"))
+    at = F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1)
+    return laid.withColumn("part", part).join(F.broadcast(base), "part").select("word", "n", (at + first_id).cast("int").alias("id"))
+
+
+def encode_words(docs: DataFrame, vocab: DataFrame | None, key: str, column: str = "text", eos: int = 0, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """(key, ids): ids of the words of each text in order and the end id; texts without a word have no row. key must be unique.
+
+    vocab is (word, id), each word once, and words that it lacks are left out; None stands for the vocabulary of docs.
+    Texts are cut into words once and written as codes of their chunk, a few megabytes of text with a table of its
+    words; ids are found for these tables, so that what is shuffled are a chunk's distinct words and not its tokens, and
+    a frequent word is one row of each chunk. Rows that share a key are merged by the places of their words.
+    """
+    texts = docs.select(F.col(key).alias("key"), spaced(F.col(column)).alias("words")).where("words <> ''")
+    kind = texts.schema["key"].dataType.simpleString()
+    coded = written(texts.mapInArrow(_chunks(chunk), f"chunk long, key {kind}, codes binary, at int, word string, n long"))
+    own = coded.where("word is not null").select("chunk", "at", "word", "n")
+    if vocab is None:
+        vocab = numbered(own.groupBy("word").agg(F.sum("n").alias("n")))
+    found = own.join(vocab.select("word", F.col("id").cast("int").alias("id")), "word").select(F.col("chunk").alias("of"), "at", "id")
+    texts = coded.where("codes is not null").select("chunk", "key", "codes")
+    made = texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_translated(eos), f"key {kind}, ids array<int>")
+    if texts.groupBy("key").count().where("count > 1").head(1):
+        placed = F.transform(F.collect_list("ids"), lambda x: F.transform(F.slice(x, 1, F.size(x) - 1), lambda i, at: F.struct(at.alias("at"), i.alias("id"))))
+        made = made.groupBy("key").agg(F.concat(F.transform(F.array_sort(F.flatten(placed)), lambda x: x["id"]), F.array(F.lit(eos))).alias("ids"))
+    return made.select(F.col("key").alias(key), "ids")
+
+
+def _chunks(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts, as of spaced(), in chunks of at most limit bytes or one text: a row for each text and each distinct word."""
+
+    def coded(name: int, keys: list, texts: list) -> Iterator[pa.RecordBatch]:
+        lists, key = pc.ascii_split_whitespace(pa.concat_arrays(texts)), pa.concat_arrays(keys)
+        table = lists.flatten().dictionary_encode()
+        codes, past = table.indices.to_numpy().astype("<i4", copy=False), np.cumsum(pc.list_value_length(lists).to_numpy())
+        # Texts that begin or end with a space have an empty part there.
+        empty = pc.index(table.dictionary, pa.scalar("", table.dictionary.type)).as_py()
+        if empty >= 0:
+            kept = codes != empty
+            codes, past = codes[kept], np.concatenate([[0], np.cumsum(kept)])[past]
+        n = np.bincount(codes)
+        at = np.flatnonzero(n)
+        binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.concatenate([[0], past * 4]).astype(np.int32)), pa.py_buffer(codes)])
+        columns = ["chunk", "key", "codes", "at", "word", "n"]
+        none, chunk = lambda kind, rows: pa.nulls(rows, kind), lambda rows: pa.array(np.full(rows, name))
+        yield pa.RecordBatch.from_arrays([chunk(len(key)), key, binary, *(none(kind, len(key)) for kind in (pa.int32(), pa.string(), pa.int64()))], columns)
+        own = [pa.array(at.astype(np.int32)), table.dictionary.take(pa.array(at)).cast(pa.string()), pa.array(n[at])]
+        yield pa.RecordBatch.from_arrays([chunk(len(at)), none(key.type, len(at)), none(pa.binary(), len(at)), *own], columns)
+
+    def run(batches):
+        name = TaskContext.get().partitionId() << 32
+        keys, texts, size = [], [], 0
+        for batch in batches:
+            past = np.concatenate([[0], np.cumsum(pc.binary_length(batch["words"]).to_numpy(), dtype=np.int64)])
+            i = 0
+            while i < batch.num_rows:
+                j = int(np.searchsorted(past, past[i] + limit - size, "right")) - 1
+                if j <= i and not size:
+                    j = i + 1
+                if j > i:
+                    keys.append(batch["key"].slice(i, j - i))
+                    texts.append(batch["words"].slice(i, j - i))
+                    size += int(past[j] - past[i])
+                if j < batch.num_rows:
+                    yield from coded(name, keys, texts)
+                    name, keys, texts, size = name + 1, [], [], 0
+                i = max(i, j)
+        if keys:
+            yield from coded(name, keys, texts)
+
+    return run
+
+
+def _translated(eos: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Ids for the codes of a chunk; codes without one are left out."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        codes = np.frombuffer(b"".join(texts["codes"].to_pylist()), "<i4")
+        past = np.cumsum(pc.binary_length(texts["codes"]).to_numpy()) // 4
+        at = found["at"].to_numpy()
+        ids = np.zeros(max(codes.max(initial=0), at.max(initial=0)) + 1, np.int32)
+        known = np.zeros(len(ids), bool)
+        ids[at], known[at] = found["id"].to_numpy(), True
+        kept = known[codes]
+        ends = np.concatenate([[0], np.cumsum(kept)])[past]
+        some = np.diff(ends, prepend=0) > 0
+        ends = ends[some]
+        offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
+        values = np.insert(ids[codes[kept]], ends, eos).astype(np.int32)
+        return pa.table({"key": texts["key"].filter(pa.array(some)), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
+
+    return run
 
 
 def file_encoder(spec: str, eos: int | None = None) -> Callable[[Column], Column]:

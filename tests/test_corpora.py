@@ -5,6 +5,7 @@ import io
 import json
 import os
 import zipfile
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +170,40 @@ def test_training_and_encoders(spark):
     assert row.ids[-1] == 50256 and row.c and [(x.first, x.past) for x in row.o] == [(0, 2), (2, 4)]
 
 
+ODD_TEXTS = [
+    (1, "The the, THE end."), (2, " \x0b\t "), (3, ""), (4, None), (5, "a\u00a0b\x1fc\u3000中文。\U0001f600x\U00020000y"), (6, "\n.x" * 50), (7, "the"), (8, "İI ſß x1٣"), (None, "end the"), (None, "x"), (9, "a b c"), (9, "d e"),
+]
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+def test_encoded_words_of_odd_texts(spark, chunk):
+    docs = spark.createDataFrame(ODD_TEXTS, "k int, text string").repartition(3)
+    cut = [(r.k, list(r.w)) for r in docs.select("k", tokens.words(F.col("text")).alias("w")).collect() if r.w]
+    counts = Counter(w for _, ws in cut for w in ws)
+    ids = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w.encode())), 1)}
+    vocab = tokens.vocabulary(docs)
+    assert {r.word: (r.n, r.id) for r in vocab.collect()} == {w: (counts[w], i) for w, i in ids.items()}
+    # Texts that share a key are merged by places, and by ids at one place.
+    places = defaultdict(list)
+    for k, ws in cut:
+        places[k] += [(at, ids[w]) for at, w in enumerate(ws)]
+    wanted = {k: [i for _, i in sorted(x)] + [0] for k, x in places.items()}
+    for given in (None, vocab):
+        made = tokens.encode_words(docs, given, "k", chunk=chunk).collect()
+        assert len(made) == len(wanted) and {r.k: r.ids for r in made} == wanted
+    some = {w: i for w, i in ids.items() if w in ("the", "end", ".")}
+    made = tokens.encode_words(docs.where("k < 9"), spark.createDataFrame(list(some.items()), "word string, id int"), "k", eos=-5, chunk=chunk)
+    assert {r.k: r.ids for r in made.collect()} == {k: [some[w] for w in ws if w in some] + [-5] for k, ws in cut if k and k < 9 and set(ws) & set(some)}
+
+
+def test_encoding_shuffles_no_row_for_each_token(spark):
+    docs = spark.createDataFrame([(k, "the cat, the dog " * 20) for k in range(50)], "k int, text string")
+    plan = tokens.encode_words(docs, tokens.vocabulary(docs), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan
+    # Of the numbering, only the sizes of ranges meet in one task.
+    assert "row_number" not in tokens.vocabulary(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ngrams_of_short_segments(spark):
     docs = spark.createDataFrame([("一 二三",), ("",), (None,)], "text string")
     assert [(r.term, r.n) for r in ngrams.frequencies(ngrams.han_ngrams(docs)).collect()] == [("二三", 1)]
